@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: whitespace that trimming removes (after compatibility normalisation) ---
-_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
+# --- fixed values: the characters Python treats as whitespace ---
+_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+)
 _ASCII_ONLY = "^[\\x00-\\x7F]*$"
 
 

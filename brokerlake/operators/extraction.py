@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brokerlake import vocab
 from brokerlake.functions.text import casefold, strip, strip_nul
+from brokerlake.scale import durable
 
 _EVIDENCE = (
     "struct<source_part:string,excerpt:string,occurrence:string,segment_sequence:string>"
@@ -273,8 +274,12 @@ def check_extractions(raw: DataFrame, column: str = "raw_json") -> DataFrame:
 
 
 def validate_extractions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid): valid rows carry the typed ``proposal``."""
-    checked = check_extractions(raw)
+    """(valid, invalid): valid rows carry the typed ``proposal``.
+
+    The verdicts are stored once: several consumers read them, and each would otherwise check
+    every document again.
+    """
+    checked = durable(check_extractions(raw))
     valid = checked.where("validation_status = 'valid'").withColumn(
         "proposal", F.from_json("raw_json", SCHEMA)
     )

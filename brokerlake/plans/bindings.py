@@ -254,28 +254,29 @@ FROM conversations""")
 
 _role("evidence_refs", """
 SELECT concat('email:', cast(doc_id AS string)) AS event_id, 'carrier_identity' AS field_name,
-  'body' AS source_part, substring(text, cast(1 + doc_id % 40 AS int), 2) AS excerpt,
+  'body' AS source_part,
+  coalesce(nullif(substring(text, cast(1 + doc_id % 40 AS int), 2), ''), 'zz') AS excerpt,
   1 + doc_id % 3 AS occurrence, cast(NULL AS bigint) AS segment_sequence
 FROM documents
 UNION ALL
 SELECT concat('email:', cast(doc_id AS string)), 'load_reference', 'subject',
-  substring(text, 5, 6), 1, NULL FROM documents
+  coalesce(nullif(substring(text, 5, 6), ''), 'zz'), 1, NULL FROM documents
 UNION ALL
 SELECT concat('email:', cast(doc_id AS string)), 'equipment', 'body',
   concat('zq', substring(text, 3, 9)), 1, NULL FROM documents
 UNION ALL
 SELECT concat('email:', cast(doc_id AS string)), 'availability', 'body',
-  substring(text, cast(1 + doc_id % 40 AS int), 2), 1 + doc_id % 3, NULL
+  coalesce(nullif(substring(text, cast(1 + doc_id % 40 AS int), 2), ''), 'zz'), 1 + doc_id % 3, NULL
 FROM documents WHERE doc_id % 3 = 0
 UNION ALL
 SELECT concat('call:', cast(conv_id AS string)), 'carrier_identity', 'transcript',
-  substring(text, 3, 3), 1 + turn % 2, turn FROM conversations
+  coalesce(nullif(substring(text, 3, 3), ''), 'zz'), 1 + turn % 2, turn FROM conversations
 UNION ALL
 SELECT concat('call:', cast(conv_id AS string)), 'equipment', 'body',
-  substring(text, 3, 3), 1, NULL FROM conversations
+  coalesce(nullif(substring(text, 3, 3), ''), 'zz'), 1, NULL FROM conversations
 UNION ALL
 SELECT concat('call:', cast(conv_id AS string)), 'load_reference', 'transcript',
-  substring(text, 1, 8), 1, turn + 1 FROM conversations""")
+  coalesce(nullif(substring(text, 1, 8), ''), 'zz'), 1, turn + 1 FROM conversations""")
 
 _role("jobs", """
 SELECT cast(event_id AS string) AS job_id, concat('ev:', cast(event_id AS string)) AS event_id,
