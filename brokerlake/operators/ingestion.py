@@ -146,11 +146,14 @@ def dedupe_submissions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     )
     known = existing.groupBy("content_fingerprint").agg(F.min("event_id").alias("_known"))
     winners = first.join(known, "content_fingerprint", "left").select(
-        "content_fingerprint", F.coalesce("_known", "_first").alias("result_event_id")
+        "content_fingerprint", F.coalesce("_known", "_first").alias("result_event_id"),
+        F.col("_known").isNull().alias("_new"),
     )
-    return incoming.join(winners, "content_fingerprint").withColumn(
-        "outcome",
-        F.when(F.col("event_id") == F.col("result_event_id"), "created").otherwise("existing"),
+    created = F.col("_new") & (F.col("event_id") == F.col("result_event_id"))
+    return (
+        incoming.join(winners, "content_fingerprint")
+        .withColumn("outcome", F.when(created, "created").otherwise("existing"))
+        .drop("_new")
     )
 
 

@@ -64,8 +64,8 @@ def retry_selection(
 ) -> DataFrame:
     """Failed jobs in submission order with ``decision`` selected or skipped_retry_limit.
 
-    With ``max_jobs`` the first jobs under the limit are kept by a top-k, not by a global window;
-    jobs at their retry limit that were submitted before the last kept one are reported too.
+    With ``max_jobs`` the scan ends at the first job that no longer fits. That job is found by a
+    top-k, not by a global window.
     """
     chosen = jobs.where("status = 'failed'")
     if snapshot_id is not None:
@@ -85,15 +85,15 @@ def retry_selection(
     if max_jobs is None:
         return decided
     order = F.struct("submitted_at", "job_id")
-    kept = decided.where("decision = 'selected'").orderBy("submitted_at", "job_id").limit(max_jobs)
-    # one row: how many were kept and where the last of them stands
-    bound = kept.agg(F.max(order).alias("_last"), F.count("*").alias("_kept"))
-    # the scan stops at the first job it would have to leave out
-    within = (F.col("_kept") < max_jobs) | (order <= F.col("_last"))
+    first = decided.where("decision = 'selected'").orderBy("submitted_at", "job_id")
+    # one row: how many could be taken, and the first job that no longer fits
+    bound = first.limit(max_jobs + 1).agg(
+        F.max(order).alias("_stop"), F.count("*").alias("_n"), F.lit(1).alias("_one")
+    )
+    within = (F.col("_n") <= max_jobs) | (order < F.col("_stop"))
     return (
-        decided.withColumn("_one", F.lit(1))
-        .join(F.broadcast(bound.withColumn("_one", F.lit(1))), "_one")
-        .where(within).drop("_one", "_last", "_kept")
+        decided.withColumn("_one", F.lit(1)).join(F.broadcast(bound), "_one").where(within)
+        .drop("_one", "_stop", "_n")
     )
 
 
