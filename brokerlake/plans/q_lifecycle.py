@@ -665,7 +665,7 @@ def stream_job_state(t: Tables) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     (
-        stream_state.job_state_stream(stream).writeStream.foreachBatch(store)
+        stream_state.job_state_stream(stream, stale_seconds=None).writeStream.foreachBatch(store)
         .outputMode("update").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start().awaitTermination()
     )

@@ -25,7 +25,11 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class JobProcessor(StatefulProcessor):
-    """Applies legal transitions, ignores the others and fails jobs that stall."""
+    """Applies legal transitions and ignores the others. With ``stale_seconds`` a job that stays
+    in processing that long is failed by a processing-time timer."""
+
+    def __init__(self, stale_seconds: int | None) -> None:
+        self._stale_seconds = stale_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -43,11 +47,12 @@ class JobProcessor(StatefulProcessor):
                 status, retries = after
             out.append((key[0], name, int(seq), after is not None, status, retries, None))
         self._state.update((status, retries, int(logs["seq_key"].iloc[-1]), 0.0))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if status == "processing":
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self._handle.registerTimer(now + vocab.STALE_PROCESSING_SECONDS * 1000)
+        if self._stale_seconds is not None:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            if status == "processing":
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self._handle.registerTimer(now + self._stale_seconds * 1000)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -66,12 +71,18 @@ class JobProcessor(StatefulProcessor):
         pass
 
 
-def job_state_stream(transitions: DataFrame) -> DataFrame:
-    """One output row per transition (and per sweep), with the state after it."""
+def job_state_stream(
+    transitions: DataFrame, stale_seconds: int | None = vocab.STALE_PROCESSING_SECONDS
+) -> DataFrame:
+    """One output row per transition (and per sweep), with the state after it.
+
+    Timers keep a query running for ever; pass ``stale_seconds=None`` to drain a source and stop,
+    and sweep the result as a batch.
+    """
     use_rocksdb(transitions.sparkSession)
     return transitions.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobProcessor(),
+        statefulProcessor=JobProcessor(stale_seconds),
         outputStructType=OUTPUT,
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="None" if stale_seconds is None else "ProcessingTime",
     )
