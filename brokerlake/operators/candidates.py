@@ -322,9 +322,16 @@ def _strength() -> list[Column]:
     ]
 
 
+# what a ranking keeps of a candidate: the sort stores its rows, so they are kept narrow
+_RANKED = [
+    "load_id", "carrier_id", "candidate_id", "company_name", "final_status", "all_in", "per_mile",
+    "reliability_score", "loads_completed", "avg_response_time_hours", "quote_id",
+]
+
+
 def strongest_candidates(priced: DataFrame) -> DataFrame:
     """Eligible candidates of each load, strongest first."""
-    eligible = priced.where("final_status = 'eligible'")
+    eligible = priced.where("final_status = 'eligible'").select(*_RANKED)
     return positions(eligible, ["load_id"], _strength())
 
 
@@ -348,12 +355,12 @@ def workspace_candidates(priced: DataFrame, latest: DataFrame) -> DataFrame:
             F.col("carrier_id"),
         )
     ]
-    rows = priced.withColumn(
-        "status_rank", F.coalesce(F.try_element_at(ranks, F.col("final_status")), F.lit(5))
-    ).withColumn("open_reasons", open_reasons())
-    rows = rows.join(latest, "candidate_id", "left")
+    rank = F.coalesce(F.try_element_at(ranks, F.col("final_status")), F.lit(5))
+    rows = priced.select(
+        *_RANKED, rank.alias("status_rank"), open_reasons().alias("open_reasons")
+    ).join(latest, "candidate_id", "left")
     order = [
-        F.col("status_rank").asc(), *strength, F.col("current_quote").isNull().asc(),
+        F.col("status_rank").asc(), *strength, F.col("quote_id").isNull().asc(),
         F.col("carrier_id").asc(),
     ]
     return positions(rows, ["load_id"], order)

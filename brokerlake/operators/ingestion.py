@@ -228,9 +228,20 @@ def activation_check(
     )
 
 
-def insert_new(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows to append: natural keys the target does not have yet, each once."""
-    return incoming.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
+def insert_new(
+    target: DataFrame, incoming: DataFrame, keys: list[str], first_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows to append: natural keys the target does not have yet, each once.
+
+    Of several incoming rows with one key the first by ``first_by`` (then by value) is taken, so
+    a repeated run picks the same one.
+    """
+    rest = [c for c in incoming.columns if c not in keys and c not in first_by]
+    chosen = F.min(F.struct(*first_by, *rest)).alias("_row")
+    first = incoming.groupBy(*keys).agg(chosen).select(*keys, "_row.*")
+    return first.join(target.select(*keys).distinct(), keys, "left_anti").select(
+        *incoming.columns
+    )
 
 
 def batch_stats(results: DataFrame) -> DataFrame:

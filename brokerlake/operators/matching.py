@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from brokerlake import vocab
 from brokerlake.functions.text import casefold, digits, strip
-from brokerlake.operators.extraction import resolve_equipment  # noqa: F401  (re-exported)
+from brokerlake.scale import durable
 
 # signal kinds in the order in which a match method is recorded
 _KINDS = ("mc_number", "dot_number", "email", "phone")
@@ -187,8 +187,9 @@ def similar_names(names: DataFrame, companies: DataFrame, threshold: float) -> D
     other. Names shorter than a trigram use single letters. Both filters are exact.
     Windows here run over the letters of one name.
     """
-    a = names.select(F.col("name").alias("id")).distinct()
-    b = companies.select(F.col("company").alias("id")).distinct()
+    # both lists of distinct names are read several times below
+    a = durable(names.select(F.col("name").alias("id")).distinct())
+    b = durable(companies.select(F.col("company").alias("id")).distinct())
     lettered_a = a.withColumn("tokens", _letters(F.col("id")))
     lettered_b = b.withColumn("tokens", _letters(F.col("id")))
     weights = (
@@ -221,7 +222,12 @@ def similar_names(names: DataFrame, companies: DataFrame, threshold: float) -> D
     pairs = close.unionByName(_contained(a, b, "name", "company")).unionByName(
         _contained(b, a, "company", "name").select("name", "company")
     )
-    scored = pairs.distinct().withColumn("ratio", _name_ratio(F.col("name"), F.col("company")))
+    # little data but much work per row: a fixed number of partitions keeps all tasks busy
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = (
+        pairs.repartition(spread, "name", "company").dropDuplicates(["name", "company"])
+        .withColumn("ratio", _name_ratio(F.col("name"), F.col("company")))
+    )
     inside = F.contains("company", "name") | F.contains("name", "company")
     lifted = F.when(
         inside, F.greatest(F.col("ratio"), F.lit(vocab.CONTAINMENT_SCORE))

@@ -85,11 +85,12 @@ def test_best_rates_and_ranking(spark):
     rows = [("L", "a", D(400), "blocked", "3.0"), ("L", "b", D(455), "eligible", "3.0"),
             ("L", "c", D(480), "eligible", "4.5"), ("L", "d", None, "eligible", "4.9")]
     priced = spark.createDataFrame(
-        [(*r[:2], f"{r[0]}|{r[1]}", f"q{r[1]}", r[2], r[2], r[3], D(r[4]), None, None)
+        [(*r[:2], f"{r[0]}|{r[1]}", f"q{r[1]}", r[2], r[2], r[3], D(r[4]), None, None, "Co")
          for r in rows],
         "load_id string, carrier_id string, candidate_id string, quote_id string,"
         " all_in decimal(18,2), per_mile decimal(12,2), final_status string,"
-        " reliability_score decimal(3,1), loads_completed int, avg_response_time_hours decimal(6,2)")
+        " reliability_score decimal(3,1), loads_completed int, avg_response_time_hours decimal(6,2),"
+        " company_name string")
     best = rates.best_rates(priced).first()
     assert best.lowest_overall.all_in == 400 and best.lowest_eligible.all_in == 455
     order = [r.carrier_id for r in
