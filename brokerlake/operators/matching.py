@@ -156,17 +156,16 @@ def _grams(column: Column, size: int) -> Column:
 
 def _letters(column: Column) -> Column:
     """The letters of a name as a set of (letter, how often so far), e.g. o1 o2."""
-    letters = F.split(column, "")
-    letters = F.filter(letters, lambda c: c != "")
-    return F.transform(
+    size = F.char_length(column)
+    starts = F.when(size >= 1, F.sequence(F.lit(1), F.greatest(size, F.lit(1))))
+    letters = F.transform(starts, lambda i: F.substring(column, i, F.lit(1)))
+    numbered = F.transform(
         letters,
         lambda c, i: F.concat(
-            c,
-            F.size(
-                F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)
-            ).cast("string"),
+            c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")
         ),
     )
+    return F.coalesce(numbered, F.array().cast("array<string>"))
 
 
 def _rare_first(names: DataFrame, weights: DataFrame, column: str) -> DataFrame:
