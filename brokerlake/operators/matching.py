@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brokerlake import vocab
-from brokerlake.functions.text import casefold, digits, strip
+from brokerlake.functions.text import casefold, digits, icontains, strip
 from brokerlake.scale import durable
 
 # signal kinds in the order in which a match method is recorded
@@ -497,8 +497,6 @@ def carrier_search(
     carriers: DataFrame, contacts: DataFrame, query: str, limit: int = 8
 ) -> DataFrame:
     """Name or contact address contains the query, or MC/DOT digits equal it; top by name."""
-    from brokerlake.functions.text import icontains
-
     wanted = digits(F.lit(query))
     reachable = contacts.where(icontains(F.col("email_normalized"), casefold(F.lit(query)))).select(
         "carrier_id"
