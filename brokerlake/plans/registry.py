@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brokerlake.plans.bindings import with_clause
 from brokerlake.plans.tables import Tables
+from brokerlake.scale import work_folder
 
 Plan = Callable[[Tables], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -41,15 +41,7 @@ def runner(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder every executor can reach."""
-    import tempfile
-
-    context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="brokerlake-")
-    return f"{named.rstrip('/')}/work-{uuid.uuid4().hex}"
+    return work_folder(spark)
 
 
 def joined(column) -> object:

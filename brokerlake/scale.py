@@ -8,6 +8,7 @@ instead: a hot key is spread over as many tasks as its share of the data.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,17 +31,37 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors reach: ``spark.checkpoint.dir``, or one made where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brokerlake-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def work_folder(spark: SparkSession, label: str = "work") -> str:
+    """The name of a new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder the session names."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder.
+
+    Unlike a checkpoint it is columnar, compressed and of a known size, so later joins can
+    choose their strategy by what the table really holds.
+    """
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def sorted_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Globally sort by key and order, fix the result, and add ``_part`` and ``_row``.
 
