@@ -4,11 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brokerlake.llm import mixing, packing, token_files
+from brokerlake.llm import mixing, packing, pii, quality, simhash, token_files
 from brokerlake.llm.common import table
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
+def pii_detection(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
+def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -28,6 +47,9 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier,
+    "op4_pii_detection": pii_detection,
+    "op5_simhash_dedup": simhash_dedup,
     "op6_mix_sources": mix_sources,
     "op7_token_output": token_output,
     "op10_best_fit_packing": best_fit_packing,
