@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlake.llm import mixing, packing, pii, quality, simhash, token_files
+from brokerlake.llm import embeddings, mixing, packing, pii, quality, simhash, token_files
 from brokerlake.llm.common import table
 
 
@@ -16,6 +16,10 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def pii_detection(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pii.detect(docs, pii.fit(docs))
@@ -48,6 +52,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
+    "op3_embedding_dedup": embedding_dedup,
     "op4_pii_detection": pii_detection,
     "op5_simhash_dedup": simhash_dedup,
     "op6_mix_sources": mix_sources,
@@ -56,5 +61,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embedding_dedup": embeddings.ALL_PAIRS_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
 }
