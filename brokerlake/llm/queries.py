@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlake.llm import embeddings, mixing, packing, pii, quality, simhash, token_files
+from brokerlake.llm import embeddings, fingerprints, mixing, packing, pii, quality, simhash, token_files
 from brokerlake.llm.common import table
 
 
@@ -44,6 +44,10 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(docs, vocabulary))
 
 
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_simhash_dedup": simhash_dedup,
     "op6_mix_sources": mix_sources,
     "op7_token_output": token_output,
+    "op8_document_fingerprints": document_fingerprints,
     "op10_best_fit_packing": best_fit_packing,
 }
 
