@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlake.llm import embeddings, fingerprints, mixing, packing, pii, quality, simhash, token_files
+from brokerlake.llm import embeddings, fingerprints, mixing, packing, pii, quality, simhash, token_files, warc
 from brokerlake.llm.common import table
 
 
@@ -48,6 +48,10 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, folder, "pages")))
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -62,10 +66,12 @@ QUERIES = {
     "op6_mix_sources": mix_sources,
     "op7_token_output": token_output,
     "op8_document_fingerprints": document_fingerprints,
+    "op9_warc_archives": warc_archives,
     "op10_best_fit_packing": best_fit_packing,
 }
 
 ORACLES = {
     "op3_embedding_dedup": embeddings.ALL_PAIRS_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
+    "op9_warc_archives": warc.RECORDS_SQL,
 }
