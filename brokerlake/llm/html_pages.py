@@ -68,6 +68,8 @@ class Element:
 class Block:
     text: str
     element: Element
+    tag: int  # the last of the page's tags before it
+    linked: int  # its characters in links, markup's white space included
 
 
 _ROOT = Element("", 0, 0, False, False, ())
@@ -92,6 +94,7 @@ class Page:
         self.tags: list[int] = []
         self._stack = [_ROOT]
         self._text: list[str] = []
+        self._linked = 0
         self._scan(html)
         self._break()
 
@@ -100,10 +103,14 @@ class Page:
             text = "".join(self._text)
             self._text.clear()
             if text := _SPACE.sub(" ", unescape(text)).strip():
-                self.blocks.append(Block(text, self._block_element()))
+                tag = max(0, len(self.tags) - 1)
+                self.blocks.append(Block(text, self._stack[-1], tag, self._linked))
+        self._linked = 0
 
-    def _block_element(self) -> Element:
-        return self._stack[-1]
+    def _add(self, text: str) -> None:
+        self._text.append(text)
+        if any(element.name == "a" for element in self._stack):
+            self._linked += len(text)
 
     def _open(self, name: str, attributes: str) -> None:
         if name in _ENDS_P:
@@ -146,10 +153,11 @@ class Page:
 
     def _scan(self, html: str) -> None:
         at = 0
-        search, text = _TAG.search, self._text
-        while found := search(html, at):
+        # nothing beyond the last ">" is a whole tag
+        search, text, limit = _TAG.search, self._text, html.rfind(">") + 1
+        while found := search(html, at, limit):
             if found.start() > at:
-                text.append(html[at : found.start()])
+                self._add(html[at : found.start()])
             at = found.end()
             name = found[2]
             if not name:

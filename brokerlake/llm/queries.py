@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brokerlake.llm import embeddings, fingerprints, mixing, packing, pii, quality, simhash, token_files, warc
+from brokerlake.llm import (
+    embeddings, fingerprints, html_extraction, mixing, packing, pii, quality, simhash, token_files, warc,
+)
 from brokerlake.llm.common import table
 
 
@@ -16,6 +18,10 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
+
+
 def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -60,6 +66,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
+    "op2_html_extraction": html_main_text,
     "op3_embedding_dedup": embedding_dedup,
     "op4_pii_detection": pii_detection,
     "op5_simhash_dedup": simhash_dedup,
