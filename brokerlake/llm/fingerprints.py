@@ -184,16 +184,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # one number a range; each is the id of a row, so no range is empty
     found = rows.approxQuantile("_at", shares, 1 / (4 * ranges)) if shares and least is not None else []
     starts = sorted({at for at in found if at > least})
-    splits = [float("-inf"), *starts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
+    if starts:
+        splits = [float("-inf"), *starts, float("inf")]
+        placed = Bucketizer(
+            splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep"
+        ).transform(rows)
+    else:  # no row, or one id alone: a single range
+        placed = rows.withColumn("_range", F.lit(0.0))
     # ids that are NULL are put in an extra last bucket; they come first here
     part = F.when(F.col("_at").isNull(), 0).otherwise(F.col("_range").cast("int"))
     last = len(starts)
     opens = F.col("_at").isNull() if unknown else F.col("_at") == F.lit(least)
     before = F.when(opens, last).when(F.col("_at").isin(starts), F.col("part") - 1)
     dealt = (
-        placed.transform(rows.withColumn("_at", F.col("_at")))
-        .withColumn("part", part)
+        placed.withColumn("part", part)
         .withColumn("_before", before)
         .select("doc_id", "text", F.explode(F.when(
             F.col("_before").isNull(), F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))
