@@ -81,6 +81,43 @@ def mix(docs: DataFrame, identity: str = "doc_id", weights: tuple[int, ...] = WE
     last in order; repeated rows are documents of their own; rows equal in key fall into a fixed
     order by identity and size. Other columns are ignored. Reruns agree.
     """
+    return _shares(docs, identity, weights, most, seed).select(
+        identity, "size", "source_size", "target", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def repeated(docs: DataFrame, identity: str = "doc_id", weights: tuple[int, ...] = WEIGHTS,
+             most: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it, with all its columns.
+
+    In key order a source's extra documents come first, so its epochs and the last extra one say
+    what becomes of every document. That is one row a source: texts are read again, and their keys
+    made again, rather than shuffled. Rows equal in key, identity and size are taken alike.
+    """
+    shares = _shares(docs, identity, weights, most, seed)
+    place = F.struct("_key", F.col(identity).alias("_id"), "size")
+    last = stored(
+        shares.groupBy(F.col("source").alias("_source")).agg(
+            F.max("_epochs").alias("_epochs"),
+            F.max(F.when(F.col("copies") > F.col("_epochs"), place)).alias("_last"),
+        ), "last",
+    )
+    own = F.struct(
+        exponential_key(docs[identity], quality_weight(docs["text"]), seed).alias("_key"),
+        docs[identity].alias("_id"), word_count(docs["text"]).alias("size"),
+    )
+    extra = (own["size"] > 0) & last["_last"].isNotNull() & (own <= last["_last"])
+    copies = last["_epochs"] + F.when(extra, 1).otherwise(0)
+    joined = docs.join(last, docs["source"].eqNullSafe(last["_source"]))
+    columns = [docs[c] for c in docs.columns]
+    return joined.select(
+        *columns, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__copy")
+    ).drop("__copy")
+
+
+def _shares(docs: DataFrame, identity: str, weights: tuple[int, ...], most: int,
+            seed: str) -> DataFrame:
     prepare(docs.sparkSession)
     weight = quality_weight(F.col("text"))
     rows = stored(docs.select(
@@ -123,8 +160,7 @@ def mix(docs: DataFrame, identity: str = "doc_id", weights: tuple[int, ...] = WE
                     <= 2 * F.col("_rest"))
         .withColumn("copies", F.col("_epochs") + F.when(
             F.col("_extra") & (F.col("size") > 0) & (F.col("_epochs") < most), 1).otherwise(0))
-        .select(identity, "size", "source_size", "target", "copies",
-                (F.col("copies") * F.col("size")).alias("taken"))
+        .select(identity, "source", "size", "source_size", "target", "copies", "_key", "_epochs")
     )
 
 

@@ -16,7 +16,7 @@ from brokerlake.llm import mixing, packing, pii, quality, simhash
 from brokerlake.llm.common import stored, table
 
 #: Names that no column of documents has.
-_SCORE, _COPIES, _NAME = "__pipeline_score", "__pipeline_copies", "__pipeline_doc_id"
+_SCORE, _ROW, _NAME = "__pipeline_score", "__pipeline_row", "__pipeline_doc_id"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(chosen, F.col("doc_id") == F.col(_NAME), "left_semi")
     # the join has brought equal ids together, so this needs no further shuffle
     first = kept.groupBy(F.col("doc_id").alias(_NAME)).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(_COPIES)
+        F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(_ROW)
     )
     unnamed = docs.where("doc_id is null").distinct()
-    return first.select(f"{_COPIES}.*").unionByName(unnamed)
+    return first.select(f"{_ROW}.*").unionByName(unnamed)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,16 +70,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that share an id are taken alike."""
-    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias(_NAME)).agg(
-        F.max("copies").alias(_COPIES)
-    )
-    taken = stored(plan.where(F.col(_COPIES) > 0), "taken")
-    return (
-        docs.join(taken, F.col("doc_id").eqNullSafe(F.col(_NAME)))
-        .withColumn(_COPIES, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_COPIES))))
-        .select(*(docs[c] for c in docs.columns))
-    )
+    """Each document as often as the mix takes it, in rows of their own."""
+    return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
