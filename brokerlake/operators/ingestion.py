@@ -291,9 +291,10 @@ def optional_int(raw: Column) -> tuple[Column, Column]:
 
 
 def optional_decimal(raw: Column, kind: str) -> tuple[Column, Column]:
+    """(value, unusable): blank is unknown; no number, or one beyond ``kind``, rejects the row."""
     blank = raw.isNull() | (raw == "")
-    value = F.when(~blank, strip(raw).try_cast("decimal(38,10)"))
-    return value.try_cast(kind), ~blank & value.isNull()
+    value = F.when(~blank, strip(raw).try_cast("decimal(38,10)")).try_cast(kind)
+    return value, ~blank & value.isNull()
 
 
 def lane_state(raw: Column) -> Column:

@@ -112,7 +112,8 @@ def fold(
                 open_key, ends, kept = key_, end, keep
         yield pd.DataFrame(out, columns=["_part", "_key", "_ends", "_carried"])
 
-    carried = runs.coalesce(1).mapInPandas(
+    # the exchange lets every range be summarised by its own task; only summaries meet in one
+    carried = runs.repartition(1).mapInPandas(
         chain, "_part int, _key string, _ends array<int>, _carried array<string>"
     )
     # one row per range at most: bounded by the number of ranges

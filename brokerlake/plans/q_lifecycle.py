@@ -67,9 +67,10 @@ def retry_selection(t: Tables) -> DataFrame:
 @query("retry_jobs", _FAILED + """
 SELECT j.job_id, s.job_id IS NOT NULL AS retried, CASE WHEN s.job_id IS NOT NULL THEN 'queued'
   ELSE j.status END AS status, j.retry_count + cast(s.job_id IS NOT NULL AS integer) AS retry_count
-FROM jobs j LEFT JOIN selection s ON s.job_id = j.job_id AND s.decision = 'selected'""", ("jobs",))
+FROM jobs j LEFT JOIN ordered s ON s.job_id = j.job_id AND s.decision = 'selected'""", ("jobs",))
 def retry_jobs(t: Tables) -> DataFrame:
-    return life.retry_jobs(selection(t), t.jobs).select(
+    every = life.retry_selection(t.jobs, snapshot_id="snap-1", source_type="email")
+    return life.retry_jobs(every, t.jobs).select(
         "job_id", "retried", "status", "retry_count"
     )
 
