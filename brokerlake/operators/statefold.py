@@ -8,6 +8,7 @@ in one place, whatever the size of a key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from brokerlake.scale import sorted_ranges
 
+#: A slot that a run has not written; a written one may hold None.
+_UNSET = object()
+
 
 def _walk(frames: Iterator[pd.DataFrame], table: np.ndarray, slots: int, width: int):
     """Effect of each range's first and last run of one key on all ``width`` start states."""
@@ -36,7 +40,7 @@ def _walk(frames: Iterator[pd.DataFrame], table: np.ndarray, slots: int, width:
                     runs.append(state)
                 state = {
                     "key": key, "end": np.arange(width),
-                    "kept": np.full((slots, width), None, dtype=object),
+                    "kept": np.full((slots, width), _UNSET, dtype=object),
                 }
             step = table[code, state["end"]]  # every start state at once
             state["end"] = step[:, 0]
@@ -50,7 +54,7 @@ def _walk(frames: Iterator[pd.DataFrame], table: np.ndarray, slots: int, width:
                 "_part": part, "_place": 1 if last and place == 1 else 0, "_key": run["key"],
                 "_end": run["end"].tolist(),
                 "_kept": [
-                    "\x1f".join("\x00" if v is None else v for v in kept)
+                    json.dumps([[] if v is _UNSET else [v] for v in kept])
                     for kept in (run["kept"].T if slots else [[]] * width)
                 ],
                 "_only": not last,
@@ -71,7 +75,8 @@ def fold(
     """Add ``state_before``, ``state_after``, ``accepted`` and ``slots_before`` to each log row.
 
     ``table[code, state] = (next state, accepted)``. ``initial``: key, ``start_state`` and
-    ``start_slots`` (array of strings). An accepted row with ``slot >= 0`` stores ``value`` there.
+    ``start_slots`` (array of strings). An accepted row with ``slot >= 0`` stores ``value`` there;
+    a NULL is stored like any other value.
     """
     width = table.shape[1]
     prepared = (
@@ -99,12 +104,12 @@ def fold(
         out, open_key, ends, kept = [], None, None, None
         for row in rows.itertuples(index=False):
             part, place, key_, end, keep = row[0], row[1], row[2], list(row[3]), list(row[4])
-            keep = [k.split("\x1f") if slots else [] for k in keep]
+            keep = [json.loads(k) for k in keep]  # per state and slot: [] or [value]
             if place == 0 and open_key == key_:
-                out.append((part, key_, ends, ["\x1f".join(k) for k in kept]))
+                out.append((part, key_, ends, [json.dumps(k) for k in kept]))
                 merged_ends = [end[e] for e in ends]
                 kept = [
-                    [new if new != "\x00" else old for old, new in zip(kept[s], keep[ends[s]])]
+                    [new or old for old, new in zip(kept[s], keep[ends[s]])]
                     for s in range(width)
                 ]
                 ends = merged_ends
@@ -132,10 +137,9 @@ def fold(
                 if row_key != current:
                     current, state, stored = row_key, int(start), list(first)
                     if ends is not None:
-                        carried_slots = kept[state].split("\x1f") if slots else []
+                        carried_slots = json.loads(kept[state])
                         stored = [
-                            old if new_ == "\x00" else new_
-                            for old, new_ in zip(stored, carried_slots)
+                            new_[0] if new_ else old for old, new_ in zip(stored, carried_slots)
                         ]
                         state = int(ends[state])
                 before.append(state)

@@ -240,9 +240,13 @@ def scan_calls_wav(t: Tables) -> DataFrame:
     return problems.groupBy("problem").agg(F.count("*").alias("problems"))
 
 
-@query("snapshot_manifest", """, calls AS (
-  SELECT sha256('[' || string_agg('["doc-' || doc_id || '.wav", "' || sha256(text) || '"]', ', '
-    ORDER BY 'doc-' || doc_id || '.wav') || ']') AS checksum FROM documents
+@query("snapshot_manifest", """, listing AS (
+  SELECT 'doc-' || doc_id || '.wav' AS name, sha256(text) AS checksum FROM documents
+), grouped AS (
+  SELECT left(sha256(name), 4) AS part, sha256('[' || string_agg('["' || name || '","' || checksum
+    || '"]', ',' ORDER BY name) || ']') AS hash FROM listing GROUP BY 1
+), calls AS (
+  SELECT sha256(string_agg(part || ':' || hash, ',' ORDER BY part)) AS checksum FROM grouped
 ), sources AS (
   SELECT lang || '.csv' AS name, sha256(cast(count(*) AS varchar)) AS checksum FROM documents
   GROUP BY lang UNION ALL SELECT 'call_recordings', checksum FROM calls)

@@ -112,3 +112,23 @@ def test_job_fold_with_a_hot_job(spark):
         after = jobs.next_state(name, status, retries)
         state[job] = (*after, ignored) if after else (status, retries, ignored + 1)
     assert got == state
+
+
+def test_null_corrections_cross_ranges(spark):
+    """A correction to NULL holds until the next one, whatever the ranges and the characters."""
+    _uncoalesced(spark)
+    targets = [None if n % 3 else f"a\x1fb\x00{n}" for n in range(600)]
+    inquiries = spark.createDataFrame(
+        [("hot", "needs_review", True, True, True, "c0", "l0")],
+        "inquiry_id string, review_status string, carrier_pending boolean, load_pending boolean,"
+        " other_pending boolean, carrier_id string, load_id string")
+    log = spark.createDataFrame(
+        [("hot", f"{n:06d}", "correct_carrier", t, True, n) for n, t in enumerate(targets)],
+        "inquiry_id string, action_id string, action_type string, target_id string,"
+        " same_snapshot boolean, n int").withColumn("created_at", F.timestamp_seconds("n"))
+    for parts in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        audit = review.review_audit(inquiries, log.repartition(4)).collect()
+        before = [r.carrier_before for r in sorted(audit, key=lambda r: r.action_id)]
+        assert before == ["c0", *targets[:-1]]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -1,5 +1,6 @@
 """Readers on generated packages, tables, evaluation figures and streaming."""
 
+import hashlib
 import io
 import json
 import wave
@@ -91,13 +92,29 @@ def test_json_arrays(spark, tmp_path):
     assert files.read_emails(spark, str(tmp_path / "bad.json"))[1].first().problem == "not a JSON array"
 
 
-def test_listing_hash_does_not_depend_on_layout(spark, monkeypatch):
-    listing = spark.range(500).select(F.concat(F.lit("f"), "id").alias("name"),
-                                      F.sha2(F.col("id").cast("string"), 256).alias("checksum"))
-    for limit in (100_000, 10):
-        monkeypatch.setattr(files, "_FLAT_LISTING", limit)
-        hashes = {files._listing_hash(listing.repartition(n)).first()[0] for n in (1, 3)}
-        assert len(hashes) == 1
+@pytest.mark.parametrize("count", [0, 5, 150_000])
+def test_listing_hash_has_one_rule(spark, count):
+    listing = spark.range(count).select(F.concat(F.lit("f"), "id").alias("name"),
+                                        F.sha2(F.col("id").cast("string"), 256).alias("checksum"))
+    groups = {}
+    for name in sorted(f"f{n}" for n in range(count)):
+        pair = [name, hashlib.sha256(name[1:].encode()).hexdigest()]
+        groups.setdefault(hashlib.sha256(name.encode()).hexdigest()[:4], []).append(pair)
+    text = ",".join(
+        f"{g}:{hashlib.sha256(json.dumps(p, separators=(',', ':')).encode()).hexdigest()}"
+        for g, p in sorted(groups.items()))
+    for n in (1, 3):
+        got = files._listing_hash(listing.repartition(n)).first()[0]
+        assert got == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_csv_fields_may_hold_line_breaks(spark, tmp_path):
+    names = files.schemas.LOAD_COLUMNS
+    row = lambda n: ",".join(f'"two\nlines {n}"' if c == "load_id" else "x" for c in names)
+    (tmp_path / "loads.csv").write_text("\n".join([",".join(names), row(1), row(2)]) + "\n")
+    rows, problems = files.read_loads(spark, str(tmp_path / "loads.csv"))
+    assert sorted(r.load_id for r in rows.collect()) == ["two\nlines 1", "two\nlines 2"]
+    assert problems.isEmpty()
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
