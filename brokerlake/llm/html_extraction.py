@@ -4,7 +4,7 @@ A page is a row of tokens: its tags, each with the path of elements around it, a
 each with its path. A token's occurrence vector says how often each page of the host holds it.
 Vectors are never formed: a page adds two hashes of (page, count) to sums that Spark combines, and
 tokens with equal sums, pages and occurrences form a class. Classes on enough pages are the host's
-template. In a page, the class of tokens found once everywhere cuts it into slots, in template
+template. Equal pages of a host count once: copies say nothing of what varies. In a page, the class of tokens found once everywhere cuts it into slots, in template
 order; another class is nested in the slot that holds all of its tokens, and one that crosses slots
 is invalid there. Texts that belong to a valid class together with the very element around them
 are the template's own words; what remains in the slots is the page's data.
@@ -106,14 +106,32 @@ def token_sums(pages: DataFrame) -> DataFrame:
     )
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, html): each html of a host once, ``page`` being its hash; NULLs go.
+
+    Only html that has copies is shuffled, and that after a reduction in each task.
+    """
+    rows = pages.where("html is not null").select("host", F.xxhash64("html").alias("page"), "html")
+    copied = stored(
+        rows.groupBy("host", "page").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "copies"
+    )
+    once = rows.join(copied, ["host", "page"], "left_anti")
+    return once.unionByName(
+        rows.join(copied, ["host", "page"], "left_semi").dropDuplicates(["host", "page"])
+    )
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): the template of each host, an array of (token, kind, whole, place, share).
 
-    A host's array is bounded by the tokens of a page over ``LEAST_SHARE``, not by its pages.
+    ``pages`` (host, html) may hold copies. A host's array is bounded by the tokens of a page over
+    ``LEAST_SHARE``, not by its pages.
     """
-    sizes = pages.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_all"))
+    sizes = pages.where("html is not null").groupBy(F.col("host").alias("_host")).agg(
+        F.countDistinct(F.xxhash64("html")).alias("_all")
+    )
     often = (
-        token_sums(pages.where("html is not null")).where(F.col("pages") >= LEAST_PAGES)
+        token_sums(distinct_pages(pages)).where(F.col("pages") >= LEAST_PAGES)
         .join(sizes, F.col("host") == F.col("_host"))
         .where(F.col("pages") >= LEAST_SHARE * F.col("_all"))
     )
@@ -175,14 +193,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     A NULL or empty html has the empty text; a NULL url belongs to the host without name. Repeated
-    rows are pages of their own and NULL page_ids are kept; an empty table gives an empty result.
+    rows are pages of their own, though one for the template, and NULL page_ids are kept; an empty table gives an empty result.
     Other columns are ignored.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    known = stored(
-        templates(rows.select("host", F.xxhash64("page_id").alias("page"), "html")), "templates"
-    )
+    known = stored(templates(rows.select("host", "html")), "templates")
     # one row a host: broadcast where Spark finds the table small, else a join that it can split
     joined = rows.join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
 

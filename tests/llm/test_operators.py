@@ -80,6 +80,23 @@ def test_html_marked_and_deduced(spark):
     assert found[200] == found[201] == found[202] == "" and found[None] == "plain text"
 
 
+def test_html_copies_are_one_page_for_the_template(spark):
+    one = "<nav><a href=x>menu</a></nav><article><h1>Title</h1><p>{0}</p></article>".format(prose(1, 20))
+    loose = "<div><h2>Head</h2><p>{0}</p></div>".format(prose(2, 20))
+    quote = ARTICLE.format("q", prose(3, 20)).replace("<br>x", "</p><blockquote>said once</blockquote><p>x")
+    pages = [(k, "http://a.org/", one) for k in range(8)] + [(10 + k, "http://b.org/", loose) for k in range(8)]
+    pages += [(20 + k, "http://c.org/", quote) for k in range(8)]
+    pages += [(30 + k, "http://c.org/", ARTICLE.format(k, prose(k, 20))) for k in range(20)]
+    rows = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    found = {r.page_id: r.text for r in rows}
+    assert len(found) == len(rows) == len(pages)
+    for k in range(8):
+        assert found[k] == f"Title\n{prose(1, 20)}"
+        assert found[10 + k] == f"Head\n{prose(2, 20)}"
+        assert found[20 + k] == f"q\n{prose(3, 20)} & co\ntwo q\nsaid once\nx"
+    assert found[30] == f"0\n{prose(0, 20)} & co\ntwo 0\nx"
+
+
 def test_html_given_pages(spark):
     pages = read(spark, "pages")
     rows = html_extraction.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
