@@ -176,6 +176,45 @@ def test_pii_base_spans(spark, odd, empty):
     assert pii.detect(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_finds_loose_forms_where_there_are_many(spark):
+    rng = np.random.default_rng(7)
+
+    def number(n):
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        digits = number(15)
+        return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+    docs, planted, dull = [], {}, {}
+    for k in range(400):
+        local, c = f"{rng.integers(2, 10)}{number(9)}", card()
+        while luhn(f"2024{local}") or luhn(f"1234{local}"):  # else a card in the fixed format
+            local = f"{rng.integers(2, 10)}{number(9)}"
+        a, b, d = local[:3], local[3:6], local[6:]
+        text, fixed = f"mail joe{k}@site.com or +1 {a}{b}{d} now {prose(k, 6)}", card()
+        loose = [("phone", f"{a}-{b}-{d}"), ("phone", f"({a}) {b}-{d}"), ("card", " - ".join(c[i : i + 4] for i in (0, 4, 8, 12))),
+                 ("card", ".".join(c[i : i + 4] for i in (0, 4, 8, 12))), ("email", f"joe{k} at site dot org"),
+                 ("ip", f"10[.]{k % 256}[.]3[.]4")]
+        text += f" card {fixed} host 10.0.0.{k % 256} "
+        for kind, body in loose:
+            text += f"{prose(900 + k, 3)} "
+            planted.setdefault(k, []).append(f"{kind}:{len(text)}:{len(text) + len(body)}")
+            text += f"{body} "
+        for stray in ("2024 ", "12 34 "):
+            text += f"{prose(500 + k, 3)} {stray}"
+            planted[k].append(f"phone:{len(text)}:{len(text) + 12}")
+            text += f"{a}-{b}-{d} "
+        dull[k] = len(text)
+        docs.append((k, text + f"{prose(k, 4)} 2024-10-12 11.30 {prose(k, 3)} 1990-1995 2001 {prose(k, 3)} sold at cost.The end"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.detect(table, pii.fit(table)).collect()
+    found = {r.doc_id: set(r.spans.split(",")) for r in rows}
+    for place in range(8):
+        assert np.mean([planted[k][place] in found[k] for k in found]) >= 0.9, place
+    assert sum(int(s.split(":")[1]) >= dull[k] for k in found for s in found[k]) <= 0.02 * len(found)
+
+
 def simple_fingerprint(text):
     import xxhash
 
