@@ -14,7 +14,7 @@ _TAG = re.compile(
     r"((?:[^>\"']*(?:\"[^\"]{0,5000}\"|'[^']{0,5000}')?)*+|[^>]*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 
 #: Elements whose content is no markup, elements without content, and blocks.
@@ -38,7 +38,8 @@ _SIBLINGS = {
 }
 _SCOPE = frozenset("article aside blockquote body div footer form header main nav section table".split())
 
-#: Elements and words of class, id or role that mark what is no main text, and what is.
+#: Elements and whole words of class, id or role that mark what is no main text, and
+#: what is.
 OFF_ELEMENTS = frozenset(
     "head nav header footer aside form button select dialog menu svg math object video audio "
     "canvas fieldset option".split()
@@ -50,6 +51,9 @@ OFF_WORDS = frozenset(
     "related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar topbar widget widgets complementary".split()
 )
+#: Of these, what holds other articles than the main one where it stands behind that.
+BESIDE_ELEMENTS = frozenset("nav footer aside dialog".split())
+BESIDE_WORDS = frozenset("comment comments disqus related replies reply respond".split())
 ON_ELEMENTS = frozenset(("article", "main"))
 ON_WORDS = frozenset(("main", "article", "post-body", "entry-content", "article-body"))
 
@@ -58,10 +62,13 @@ ON_WORDS = frozenset(("main", "article", "post-body", "entry-content", "article-
 class Element:
     name: str
     path: int  # of this element and all around it
-    depth: int
-    off: bool  # it, or one around it, is no main text
+    up: Element | None
+    no_text: bool  # it is itself no main text
+    off: bool  # it, or one around it, is no main text; final when the page is read
     on: bool  # it, or one around it, is marked as main text
-    around: tuple[int, ...]  # paths from the outermost to its own
+    beside: bool = False  # it is no main text and may hold others' articles
+    in_article: bool = False  # it, or one around it, is an article
+    kept: bool = False  # it is an article or main that nothing switches off
 
 
 @dataclass(slots=True)
@@ -72,18 +79,17 @@ class Block:
     linked: int  # its characters in links, markup's white space included
 
 
-_ROOT = Element("", 0, 0, False, False, ())
+_ROOT = Element("", 0, None, False, False, False)
 
 
 def label(name: str, attributes: str) -> tuple[str, frozenset[str]]:
-    """An element's name with its class, id and role, and the words among these."""
+    """An element's name with its class, id and role, and the whole words of these."""
     if "=" not in attributes:
         return name, frozenset()
     values = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)).lower()
-    words = set(values.split())
     # numbers in class names count pages or posts, not kinds of elements
     kind = re.sub(r"[0-9]+", "#", values)
-    return f"{name}.{kind}", frozenset(words | set(re.split(r"[^a-z]+", values)))
+    return f"{name}.{kind}", frozenset(values.split())
 
 
 class Page:
@@ -95,8 +101,14 @@ class Page:
         self._stack = [_ROOT]
         self._text: list[str] = []
         self._linked = 0
+        self._elements: list[Element] = []
+        self._article = False  # an article that is kept has begun
+        self._freed = False  # an element is no longer off
         self._scan(html)
         self._break()
+        if self._freed:
+            for element in self._elements:  # from the outermost in
+                element.off = element.no_text or element.up.off
 
     def _break(self) -> None:
         if self._text:
@@ -123,11 +135,36 @@ class Page:
         self.tags.append(path << 1)
         if name in VOID:
             return
-        off = above.off or name in OFF_ELEMENTS or bool(words & OFF_WORDS) and name != "body"
+        named = bool(words & OFF_WORDS) and name not in ("html", "body")
+        no_text = named or name in OFF_ELEMENTS
         on = above.on or name in ON_ELEMENTS or bool(words & ON_WORDS)
         if name == "header" and above.on and not above.off:
-            off = bool(words & OFF_WORDS)  # the article's own heading
-        self._stack.append(Element(name, path, above.depth + 1, off, on, (*above.around, path)))
+            no_text = named  # the article's own heading
+        beside = no_text and (name in BESIDE_ELEMENTS or bool(words & BESIDE_WORDS))
+        in_article = above.in_article or name == "article"
+        element = Element(name, path, above, no_text, above.off or no_text, on, beside, in_article)
+        self._stack.append(element)
+        self._elements.append(element)
+        if name in ON_ELEMENTS and not above.in_article:
+            self._keep(element)
+
+    def _keep(self, element: Element) -> None:
+        """Switch an article or main, and all that holds it, back on.
+
+        Others' articles, behind one that is kept and inside of an element for such, stay off.
+        """
+        around = []
+        for here in reversed(self._stack[1:]):
+            if here.kept:  # what is around it is on
+                break
+            around.append(here)
+        if self._article and any(here.beside for here in around):
+            return
+        for here in around:
+            self._freed = self._freed or here.off
+            here.no_text = here.off = here.beside = False
+        element.kept = True
+        self._article = self._article or element.name == "article"
 
     def _end(self, names: set[str], bounds) -> None:
         """Close the innermost open element of these names, unless a bound lies inside of it."""

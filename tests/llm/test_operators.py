@@ -97,6 +97,21 @@ def test_html_copies_are_one_page_for_the_template(spark):
     assert found[30] == f"0\n{prose(0, 20)} & co\ntwo 0\nx"
 
 
+@pytest.mark.parametrize("html", [
+    "<div id=content class='with-sidebar'>{0}</div>", "<main class='no-sidebar'>{1}</main>",
+    "<article class='post comments-open'>{1}</article>", "<div class='share-enabled'>{1}</div>",
+    "<div class='page sidebar'>{0}</div>", "<form><main>{1}</main></form>", "<article class='widget'>{1}</article>",
+    "<main><div class='row sidebar'><h1>Head</h1><article><p>Body</p></article></div></main>",
+    "<div class='page sidebar'>{0}</div><div class=sidebar>off</div>", "<div data-id=share>{1}</div>",
+    "{0}<section class='comments'><article class='comment'><p>off</p></article></section>",
+    "<main>{0}<aside><article>off</article></aside></main>", "<article>{1}<div class='related'>off</div></article>",
+])
+def test_html_names_are_whole_words_and_spare_articles(html):
+    article = "<article><h1>Head</h1><p>Body</p></article>"
+    page = html_extraction.Page(html.format(article, "<h1>Head</h1><p>Body</p>"))
+    assert html_extraction.main_blocks(page, {}) == ["Head", "Body"]
+
+
 def test_html_given_pages(spark):
     pages = read(spark, "pages")
     rows = html_extraction.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
