@@ -100,34 +100,25 @@ def match_carrier_exact(inquiries: DataFrame, index: DataFrame) -> DataFrame:
 def match_carrier_conflict(
     inquiries: DataFrame, index: DataFrame, matches: DataFrame
 ) -> DataFrame:
-    """Proposed carriers of conflicting inquiries, in factorised form.
+    """Every carrier that a signal of a conflicting inquiry names, one row per inquiry and carrier.
 
-    A signal that names one carrier gives a row with that carrier. A signal shared by several
-    gives one row with ``carrier_id`` NULL and ``group_size``; its members are the index rows
-    of (kind, value). Nothing is lost and no pairs are multiplied out.
+    The rule is one for signals of one carrier and of many, so ``shared_signal`` is NULL and
+    ``group_size`` 1 on every row. Signals of inquiries that do not conflict are not multiplied.
     """
-    groups = index.groupBy("snapshot_id", "kind", "value").agg(
-        F.count("*").alias("group_size"), F.min("carrier_id").alias("_one")
-    )
     conflicting = matches.where("identity = 'conflicting'").select("inquiry_id")
     hits = (
         carrier_signals(inquiries)
         .where("kind IS NOT NULL")
-        .join(groups, ["snapshot_id", "kind", "value"])
         .join(conflicting, "inquiry_id", "left_semi")
-    )
-    single = F.when(F.col("group_size") == 1, F.col("_one"))
-    shared = F.when(F.col("group_size") > 1, F.concat_ws(":", "kind", "value"))
-    return (
-        hits.withColumn("carrier_id", single)
-        .withColumn("shared_signal", shared)
-        .groupBy("inquiry_id", "carrier_id", "shared_signal")
-        .agg(
-            F.min(F.struct(_priority(F.col("kind")), F.col("kind"))).getField("kind")
-            .alias("primary_method"),
-            F.max("group_size").alias("group_size"),
-        )
-        .withColumn("match_tier", F.lit("conflicting"))
+        .join(index, ["snapshot_id", "kind", "value"])
+    )
+    return hits.groupBy("inquiry_id", "carrier_id").agg(
+        F.min(F.struct(_priority(F.col("kind")), F.col("kind"))).getField("kind")
+        .alias("primary_method")
+    ).select(
+        "inquiry_id", "carrier_id", F.lit(None).cast("string").alias("shared_signal"),
+        "primary_method", F.lit(1).cast("bigint").alias("group_size"),
+        F.lit("conflicting").alias("match_tier"),
     )
 
 
