@@ -286,6 +286,24 @@ def eval_cases(scores: DataFrame) -> DataFrame:
     )
 
 
+def eval_run_cases(gold: DataFrame, cases: DataFrame) -> DataFrame:
+    """``cases`` of ``eval_cases`` for every gold case; one without scores has errored."""
+    missing = F.col("status").isNull()
+    text = lambda c, other: F.when(missing, other).otherwise(F.col(c)).alias(c)
+    return gold.select("case_id").join(cases, "case_id", "left").select(
+        "case_id", text("status", "errored"), text("failure_categories", ""),
+        text("failure_analysis", "no valid extraction"), text("suggested_improvement", ""),
+    )
+
+
+def eval_run_totals(cases: DataFrame) -> DataFrame:
+    """One row: cases in all, passed, failed and errored."""
+    return cases.agg(
+        F.count("*").alias("cases_total"),
+        *(F.count_if(F.col("status") == s).alias(f"cases_{s}") for s in ("passed", "failed", "errored")),
+    )
+
+
 def runtime_scores(
     jobs: DataFrame, runs: DataFrame, inquiries: DataFrame, assessments: DataFrame
 ) -> DataFrame:

@@ -569,6 +569,33 @@ def eval_case_rollup(t: Tables) -> DataFrame:
     )
 
 
+_RUN = _SCORED + """, run AS (
+  SELECT g.case_id, CASE WHEN count(s.case_id) = 0 THEN 'errored'
+    WHEN bool_or(NOT s.passed) THEN 'failed' ELSE 'passed' END AS status,
+    coalesce(array_to_string(list_sort(list_distinct(list(s.category) FILTER (WHERE NOT s.passed))),
+      ','), '') AS failure_categories
+  FROM gold g LEFT JOIN scored s USING (case_id) GROUP BY 1)
+"""
+
+
+def run_cases(t: Tables) -> DataFrame:
+    return aiops.eval_run_cases(t.gold, aiops.eval_cases(scores(t)))
+
+
+@query("eval_run_cases", _RUN + "SELECT * FROM run", _SCORE_ROLES)
+def eval_run_cases(t: Tables) -> DataFrame:
+    """Every gold case; ``eval_case_rollup`` has those with a valid extraction."""
+    return run_cases(t).select("case_id", "status", "failure_categories")
+
+
+@query("eval_run_totals", _RUN + """
+SELECT count(*) AS cases_total, count(*) FILTER (WHERE status = 'passed') AS cases_passed,
+  count(*) FILTER (WHERE status = 'failed') AS cases_failed,
+  count(*) FILTER (WHERE status = 'errored') AS cases_errored FROM run""", _SCORE_ROLES)
+def eval_run_totals(t: Tables) -> DataFrame:
+    return aiops.eval_run_totals(run_cases(t))
+
+
 @query("evaluate_resolution", _SIGNALS + _LOAD_MATCH + """, cases AS (
   SELECT g.*, coalesce(i.n, 0) = 1 AS carrier_ok, m.load_resolution_status AS load_status,
     EXISTS (SELECT 1 FROM carriers c WHERE regexp_replace(c.mc_number_raw, '[^0-9]', '', 'g')

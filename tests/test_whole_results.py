@@ -1,6 +1,6 @@
 """Results that must hold every row, on literal cases."""
 
-from brokerlake.operators import matching
+from brokerlake.operators import aiops, matching
 
 
 def test_conflict_lists_every_carrier_of_a_shared_signal(spark):
@@ -22,3 +22,16 @@ def test_conflict_lists_every_carrier_of_a_shared_signal(spark):
         ("i1", "A", "mc_number"), ("i1", "B", "email"), ("i1", "C", "email"),
         ("i2", "D", "phone"), ("i2", "E", "phone"),
     ]
+
+
+def test_gold_cases_without_an_extraction_count_as_errored(spark):
+    gold = spark.createDataFrame([("a",), ("b",), ("c",)], "case_id string")
+    scores = spark.createDataFrame(
+        [("a", 0, "intent", "intent_classification", True, "x", "x"),
+         ("b", 0, "intent", "intent_classification", False, "x", "y")],
+        "case_id string, seq int, metric string, category string, passed boolean, expected string, actual string",
+    )
+    cases = aiops.eval_run_cases(gold, aiops.eval_cases(scores))
+    assert {r.case_id: r.status for r in cases.collect()} == {"a": "passed", "b": "failed", "c": "errored"}
+    assert aiops.eval_run_totals(cases).collect() == [(3, 1, 1, 1)]
+    assert aiops.eval_run_totals(cases.limit(0)).collect() == [(0, 0, 0, 0)]
