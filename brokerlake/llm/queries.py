@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brokerlake.llm import (
-    embeddings, fingerprints, html_extraction, mixing, packing, pii, quality, simhash, token_files, warc,
+    alignment, chat, embeddings, fingerprints, html_extraction, lexical, mixing, packing, pii, quality,
+    simhash, token_files, warc,
 )
 from brokerlake.llm.common import table
 
@@ -64,6 +65,23 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.tokenized_pieces(docs, vocabulary))
 
 
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat.PLANTED, given.schema)
+    return chat.digests(chat.format_conversations(given.unionByName(planted)))
+
+
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_corpus(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
     "op2_html_extraction": html_main_text,
@@ -75,10 +93,15 @@ QUERIES = {
     "op8_document_fingerprints": document_fingerprints,
     "op9_warc_archives": warc_archives,
     "op10_best_fit_packing": best_fit_packing,
+    "op11_chat_formatting": chat_formatting,
+    "op12_lexical_search": lexical_search,
+    "op13_token_alignment": token_alignment,
 }
 
 ORACLES = {
     "op3_embedding_dedup": embeddings.ALL_PAIRS_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
     "op9_warc_archives": warc.RECORDS_SQL,
+    "op11_chat_formatting": chat.CHAT_SQL,
+    "op12_lexical_search": lexical.SEARCH_SQL,
 }
