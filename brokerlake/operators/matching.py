@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brokerlake import vocab
 from brokerlake.functions.text import casefold, digits, icontains, strip
+from brokerlake.operators.similarity import contained, inside, lifted, name_ratio, top_similar
 from brokerlake.scale import durable
 
 # signal kinds in the order in which a match method is recorded
@@ -125,180 +122,67 @@ def match_carrier_conflict(
 # -- weak name similarity -----------------------------------------------------------------------
 
 
-@F.pandas_udf(T.DoubleType())
-def _name_ratio(name: pd.Series, company: pd.Series) -> pd.Series:
-    matcher = difflib.SequenceMatcher(None)
-    out = []
-    for left, right in zip(name, company):
-        matcher.set_seqs(left, right)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def _grams(column: Column, size: int) -> Column:
-    """Distinct substrings of the given length."""
-    last = F.char_length(column) - (size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-    none = F.array().cast("array<string>")
-    return F.coalesce(
-        F.array_distinct(F.transform(starts, lambda i: F.substring(column, i, F.lit(size)))), none
-    )
-
-
-def _letters(column: Column) -> Column:
-    """The letters of a name as a set of (letter, how often so far), e.g. o1 o2."""
-    size = F.char_length(column)
-    starts = F.when(size >= 1, F.sequence(F.lit(1), F.greatest(size, F.lit(1))))
-    letters = F.transform(starts, lambda i: F.substring(column, i, F.lit(1)))
-    numbered = F.transform(
-        letters,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c)).cast("string")
-        ),
-    )
-    return F.coalesce(numbered, F.array().cast("array<string>"))
-
-
-def _rare_first(names: DataFrame, weights: DataFrame, column: str) -> DataFrame:
-    """Explode the tokens of each name and order them by rarity, keeping their rank."""
-    tokens = names.select("*", F.explode(column).alias("token"))
-    ranked = tokens.join(weights, "token")
-    by_rarity = Window.partitionBy("id").orderBy("weight", "token")
-    return ranked.withColumn("rank", F.row_number().over(by_rarity))
-
-
-def similar_names(names: DataFrame, companies: DataFrame, threshold: float) -> DataFrame:
-    """All (name, company) pairs that pass the similarity rule, without comparing all pairs.
-
-    A ratio of ``t`` needs at least ``t/2 * (len a + len b)`` letters in common, and the partner
-    is at least ``t/(2-t)`` times as long. So two similar names share one of the rarest letters
-    in a short prefix of their rarity-ordered letters (prefix filtering): that prefix is the join
-    key. Containment is found separately: the contained name's rarest trigram occurs in the
-    other. Names shorter than a trigram use single letters. Both filters are exact.
-    Windows here run over the letters of one name.
-    """
-    # both lists of distinct names are read several times below
-    a = durable(names.select(F.col("name").alias("id")).distinct())
-    b = durable(companies.select(F.col("company").alias("id")).distinct())
-    lettered_a = a.withColumn("tokens", _letters(F.col("id")))
-    lettered_b = b.withColumn("tokens", _letters(F.col("id")))
-    weights = (
-        lettered_b.select(F.explode("tokens").alias("token")).groupBy("token")
-        .agg(F.count("*").alias("weight"))
-    )
-    all_tokens = (
-        lettered_a.select(F.explode("tokens").alias("token")).distinct()
-        .join(weights, "token", "left").fillna(0, ["weight"])
-        .unionByName(weights).groupBy("token").agg(F.max("weight").alias("weight"))
-    )
-    # shortest partner has ratio*len letters; the pair then shares at least this many
-    smallest = threshold / (2 - threshold)
-
-    def prefix(lettered: DataFrame) -> DataFrame:
-        size = F.size("tokens")
-        shared = F.ceil(threshold / 2 * (size + F.ceil(size * smallest)) - 1e-9)
-        keep = F.col("rank") <= size - F.greatest(shared, F.lit(1)) + 1
-        return (
-            _rare_first(lettered, all_tokens, "tokens").where(keep)
-            .select("id", "token", size.alias("len"))
-        )
-
-    pa = prefix(lettered_a).select(F.col("id").alias("name"), "token", F.col("len").alias("la"))
-    pb = prefix(lettered_b).select(F.col("id").alias("company"), "token", F.col("len").alias("lb"))
-    near_length = (2 * F.least("la", "lb") >= threshold * (F.col("la") + F.col("lb")) - 1e-9)
-    close = (
-        pa.join(pb, (pa["token"] == pb["token"]) & near_length).select("name", "company")
-    )
-    pairs = close.unionByName(_contained(a, b, "name", "company")).unionByName(
-        _contained(b, a, "company", "name").select("name", "company")
-    )
-    # little data but much work per row: a fixed number of partitions keeps all tasks busy
-    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = (
-        pairs.repartition(spread, "name", "company").dropDuplicates(["name", "company"])
-        .withColumn("ratio", _name_ratio(F.col("name"), F.col("company")))
-    )
-    inside = F.contains("company", "name") | F.contains("name", "company")
-    lifted = F.when(
-        inside, F.greatest(F.col("ratio"), F.lit(vocab.CONTAINMENT_SCORE))
-    ).otherwise(F.col("ratio"))
-    return scored.withColumn("ratio", lifted).where(F.col("ratio") >= threshold)
-
-
-def _contained(inner: DataFrame, outer: DataFrame, small: str, large: str) -> DataFrame:
-    """Pairs where ``inner`` is a substring of ``outer``, joined on one gram of ``inner``."""
-    gram_sets = outer.select(
-        F.col("id").alias(large),
-        F.explode(F.array_union(_grams(F.col("id"), 3), _grams(F.col("id"), 1))).alias("gram"),
-    )
-    weights = gram_sets.groupBy("gram").agg(F.count("*").alias("weight"))
-    own = F.when(F.char_length("id") >= 3, _grams(F.col("id"), 3)).otherwise(
-        _grams(F.col("id"), 1)
-    )
-    # a gram nobody has means no container; otherwise the rarest gram decides
-    picked = (
-        inner.select(F.col("id").alias(small), F.explode(own).alias("gram"))
-        .join(weights, "gram", "left")
-        .groupBy(small)
-        .agg(F.min_by("gram", F.struct(F.coalesce("weight", F.lit(0)), "gram")).alias("gram"))
-    )
-    return (
-        picked.join(gram_sets, "gram").where(F.contains(F.col(large), F.col(small)))
-        .select(small, large)
-    )
-
-
 def match_carrier_weak(
     requests: DataFrame,
     carriers: DataFrame,
     threshold: float = vocab.NAME_SIMILARITY_THRESHOLD,
     keep: int = 3,
+    exact: DataFrame | None = None,
 ) -> DataFrame:
     """Up to three proposed carriers per inquiry by name similarity; never selected.
 
-    ``requests``: inquiry_id, carrier_name, manual_hint. Equal names are compared once. The top
-    three are taken per distinct set of names before they are given to inquiries.
+    ``requests``: inquiry_id, carrier_name, manual_hint. Where both tables have snapshot_id, only
+    carriers of the inquiry's own snapshot are proposed. ``exact`` is the result of
+    ``match_carrier_exact``: inquiries that it resolves or finds conflicting get no proposal. Equal
+    names are compared once, and the top three are taken per distinct set of names before they are
+    given to inquiries. Equal scores go by carrier_id.
     """
+    if exact is not None:
+        undecided = exact.where("identity = 'none'").select("inquiry_id")
+        requests = requests.join(undecided, "inquiry_id", "left_semi")
+    scoped = "snapshot_id" in requests.columns and "snapshot_id" in carriers.columns
+    scope = F.coalesce("snapshot_id", F.lit("")) if scoped else F.lit("")
     named = requests.select(
-        "inquiry_id", F.nullif(casefold(strip(F.col("carrier_name"))), F.lit("")).alias("n1"),
+        "inquiry_id", scope.alias("scope"),
+        F.nullif(casefold(strip(F.col("carrier_name"))), F.lit("")).alias("n1"),
         F.nullif(casefold(strip(F.col("manual_hint"))), F.lit("")).alias("n2"),
     ).where("n1 IS NOT NULL OR n2 IS NOT NULL")
-    named = named.withColumn(
-        "ask", F.concat_ws("\x00", F.coalesce("n1", F.lit("")), F.coalesce("n2", F.lit("")))
-    )
-    asks = named.select("ask", "n1", "n2").distinct()
-    sources = asks.select(
-        "ask",
-        F.inline(
-            F.filter(
-                F.array(
-                    F.struct(F.col("n1").alias("name"), F.lit("name_similarity").alias("signal")),
-                    F.struct(F.col("n2").alias("name"), F.lit("manual_hint").alias("signal")),
-                ),
-                lambda s: s["name"].isNotNull(),
-            )
-        ),
+    named = durable(named.withColumn(
+        "ask", F.concat_ws("\x00", "scope", F.coalesce("n1", F.lit("")), F.coalesce("n2", F.lit("")))
+    ))
+    asks = named.select("ask", "scope", "n1", "n2").distinct()
+    sources = asks.select("ask", "scope", F.explode(F.array("n1", "n2")).alias("name")).where(
+        "name IS NOT NULL"
     )
     directory = carriers.where("company_name IS NOT NULL").select(
-        "carrier_id", casefold(F.col("company_name")).alias("company")
+        "carrier_id", scope.alias("scope"), casefold(F.col("company_name")).alias("company")
     )
-    similar = similar_names(sources, directory, threshold)
     # carriers sharing one company name tie; only the first few by id can be among the top
     first_ids = directory.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("company").orderBy("carrier_id"))
+        "_n", F.row_number().over(Window.partitionBy("scope", "company").orderBy("carrier_id"))
     ).where(F.col("_n") <= keep).drop("_n")
+    companies = directory.groupBy("scope", F.col("company").alias("id")).agg(
+        F.min("carrier_id").alias("first")
+    )
+    names = sources.select("scope", F.col("name").alias("id")).distinct()
+    similar = top_similar(names, companies, threshold, keep).where(F.col("ratio") >= threshold)
     best = Window.partitionBy("ask").orderBy(F.col("ratio").desc(), "carrier_id")
     top = (
-        sources.join(similar, "name")
-        .groupBy("ask", "company")
-        .agg(
-            F.max("ratio").alias("ratio"),
-            F.array_sort(F.collect_set("signal")).alias("signal_codes"),
-        )
-        .join(first_ids, "company")
+        sources.join(similar, ["scope", "name"])
+        .groupBy("ask", "scope", "company").agg(F.max("ratio").alias("ratio"))
+        .join(first_ids, ["scope", "company"])
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= keep)
-        .select("ask", "carrier_id", "company", "ratio", "signal_codes", "rank")
+        .join(asks.select("ask", "n1", "n2"), "ask")
+    )
+
+    def signal(name: str, code: str) -> Column:
+        ratio = lifted(name_ratio(F.coalesce(name, F.lit("")), F.col("company")), inside(name))
+        return F.when(F.col(name).isNotNull() & (ratio >= threshold), F.lit(code))
+
+    codes = F.array(signal("n2", "manual_hint"), signal("n1", "name_similarity"))
+    top = top.withColumn("signal_codes", F.filter(codes, lambda c: c.isNotNull())).select(
+        "ask", "carrier_id", "company", "ratio", "signal_codes", "rank"
     )
     return (
         named.select("inquiry_id", "ask").join(top, "ask").drop("ask")
@@ -459,7 +343,7 @@ def carrier_lookup(requests: DataFrame, carriers: DataFrame) -> DataFrame:
     ).agg(F.min("carrier_id").alias("carrier_id"))
     names = asked.where("_name IS NOT NULL").select(F.col("_name").alias("id")).distinct()
     container = (
-        _contained(names, companies.select(F.col("company").alias("id")), "_name_key", "company")
+        contained(names, companies.select(F.col("company").alias("id")), "_name_key", "company")
         .join(companies, "company")
         .groupBy("_name_key")
         .agg(

@@ -9,6 +9,7 @@ from brokerlake.functions import text
 from brokerlake.operators import extraction, grounding, matching
 from brokerlake.plans.registry import joined, query
 from brokerlake.plans.tables import Tables
+from brokerlake.scale import durable
 
 # classes of the extraction binding that break the contract
 _VALID = """, valid AS (
@@ -199,12 +200,17 @@ def proposed(t: Tables) -> DataFrame:
         .alias("sender_email_normalized"), "noted_mc", "noted_equipment", "noted_load",
     )
     hint = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ref "), F.col("doc_id") * 7))
+    # what an operator typed beside some named inquiries: another word, and the trade's
+    manual = F.when(
+        F.col("carrier_name").isNotNull() & (F.col("doc_id") % 4 == 1),
+        F.concat(F.substring_index("carrier_name", " ", 1), F.lit(" gear haulage")),
+    )
     return t.extraction_parts.join(notes, "event_id").select(
         F.col("event_id").alias("inquiry_id"), F.lit("snap-1").alias("snapshot_id"), "doc_id",
         "carrier_name", "mc_number", "dot_number", "contact_email", "contact_phone",
         "load_reference", "equipment", hint.alias("load_hint"), "sender_email_normalized",
         "noted_mc", "noted_equipment", "noted_load",
-        F.lit(None).cast("string").alias("manual_hint"),
+        manual.alias("manual_hint"),
     )
 
 
@@ -258,9 +264,63 @@ def match_carrier_conflict(t: Tables) -> DataFrame:
     return matching.match_carrier_conflict(proposed(t), index, exact(t))
 
 
-@query("match_carrier_weak")
+# the ratio: twice the letters of the longest common block (the first of equal ones) and of those
+# found in the same way before and behind it, over the letters of both names
+_WEAK = _SIGNALS + """, asked AS (
+  SELECT p.event_id AS inquiry_id, lower(trim(p.carrier_name)) AS n1,
+    CASE WHEN p.carrier_name IS NOT NULL AND p.doc_id % 4 = 1
+      THEN split_part(lower(p.carrier_name), ' ', 1) || ' gear haulage' END AS n2
+  FROM extraction_parts p WHERE p.event_id NOT IN (SELECT inquiry_id FROM ident)
+), named AS (
+  SELECT n1 AS name FROM asked WHERE n1 IS NOT NULL
+  UNION SELECT n2 FROM asked WHERE n2 IS NOT NULL
+), pairs AS MATERIALIZED (
+  SELECT row_number() OVER () AS pair, name, company FROM named,
+    (SELECT DISTINCT lower(company_name) AS company FROM carriers WHERE company_name IS NOT NULL)
+), cells AS (
+  SELECT pair, i, j FROM (
+    SELECT pair, name, company, unnest(range(length(name))) AS i FROM pairs) a,
+    LATERAL (SELECT unnest(range(length(a.company))) AS j) b
+  WHERE substr(name, i + 1, 1) = substr(company, j + 1, 1)
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY pair, i - j ORDER BY i) AS island FROM cells
+), runs AS MATERIALIZED (
+  SELECT pair, i, j, row_number() OVER (PARTITION BY pair, i - j, island ORDER BY i DESC) AS run
+  FROM islands
+), blocks AS (
+  WITH RECURSIVE found AS (
+    SELECT p.pair, 0::bigint AS alo, length(name)::bigint AS ahi, 0::bigint AS blo,
+      length(company)::bigint AS bhi, max(struct_pack(run := run, i := -i, j := -j)) AS best
+    FROM pairs p JOIN runs r USING (pair) GROUP BY ALL
+    UNION ALL
+    SELECT c.pair, c.alo, c.ahi, c.blo, c.bhi,
+      max(struct_pack(run := least(run, c.ahi - i, c.bhi - j), i := -i, j := -j))
+    FROM (
+      SELECT pair, alo, -best.i AS ahi, blo, -best.j AS bhi FROM found
+      UNION ALL SELECT pair, -best.i + best.run, ahi, -best.j + best.run, bhi FROM found
+    ) c JOIN runs r ON r.pair = c.pair AND i >= c.alo AND i < c.ahi AND j >= c.blo AND j < c.bhi
+    GROUP BY c.pair, c.alo, c.ahi, c.blo, c.bhi
+  ) SELECT pair, sum(best.run) AS same FROM found GROUP BY pair
+), scores AS (
+  SELECT name, company, greatest(2 * coalesce(same, 0)::double / (length(name) + length(company)),
+    CASE WHEN contains(company, name) OR contains(name, company) THEN 0.75 ELSE 0 END) AS ratio
+  FROM pairs LEFT JOIN blocks USING (pair)
+), weak AS (
+  SELECT inquiry_id, carrier_id, max(ratio) AS ratio, string_agg(DISTINCT code, ',' ORDER BY code) AS signals,
+    row_number() OVER (PARTITION BY inquiry_id ORDER BY max(ratio) DESC, carrier_id) AS rank
+  FROM (SELECT inquiry_id, n1 AS name, 'name_similarity' AS code FROM asked
+    UNION ALL SELECT inquiry_id, n2, 'manual_hint' FROM asked) a
+  JOIN scores USING (name) JOIN carriers c ON lower(c.company_name) = company
+  WHERE ratio >= 0.6 GROUP BY inquiry_id, carrier_id)
+"""
+
+
+@query("match_carrier_weak", _WEAK + """
+SELECT inquiry_id, carrier_id, ratio, cast(rank AS integer) AS rank, signals FROM weak
+WHERE rank <= 3""", _MATCH_ROLES)
 def match_carrier_weak(t: Tables) -> DataFrame:
-    return matching.match_carrier_weak(proposed(t), t.carriers).select(
+    found = matching.match_carrier_weak(proposed(t), t.carriers, exact=exact(t))
+    return found.select(
         "inquiry_id", "carrier_id", "ratio", "rank", joined("signal_codes").alias("signals")
     )
 
@@ -314,14 +374,15 @@ def metadata_conflict(t: Tables) -> DataFrame:
 
 def reasons(t: Tables) -> DataFrame:
     rows = matching.metadata_conflicts(proposed(t))
-    weak = matching.match_carrier_weak(proposed(t), t.carriers).select(
+    decided = durable(exact(t))
+    weak = matching.match_carrier_weak(proposed(t), t.carriers, exact=decided).select(
         "inquiry_id"
     ).distinct().withColumn("_weak", F.lit(True))
     loads = matching.match_load(proposed(t), t.loads).select(
         "inquiry_id", F.col("reason_code").alias("load_reason")
     )
     resolved = (
-        rows.join(exact(t).select("inquiry_id", "identity"), "inquiry_id")
+        rows.join(decided.select("inquiry_id", "identity"), "inquiry_id")
         .join(weak, "inquiry_id", "left").join(loads, "inquiry_id")
         .withColumn("weak_found", F.coalesce("_weak", F.lit(False)))
         .withColumn("low_confidence", F.col("doc_id") % 23 == 0)
