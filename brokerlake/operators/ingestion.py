@@ -22,6 +22,10 @@ _ADDRESS = (
 # -- submitted emails ------------------------------------------------------------------------------
 
 
+#: The largest number that the stored integers hold.
+_INT = (1 << 31) - 1
+
+
 def _named_problems(pairs: list[tuple[str, Column]]) -> Column:
     options = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(n)) for n, bad in pairs])
     return F.filter(options, lambda p: p.isNotNull())
@@ -372,8 +376,8 @@ def import_loads(raw: DataFrame, aliases: DataFrame, snapshot_id: str, timezone:
     problems = _named_problems([
         ("pickup_date", day.isNull()),
         ("delivery_date", given_delivery & delivery.isNull()),
-        ("distance_miles", bad_miles | (miles <= 0)),
-        ("weight_lbs", bad_weight | (weight < 0)),
+        ("distance_miles", bad_miles | (miles <= 0) | (miles > _INT)),
+        ("weight_lbs", bad_weight | (weight < 0) | (weight > _INT)),
         ("offered_rate_usd", bad_rate | (rate < 0)),
     ])
     types = aliases.select(F.col("equipment_code").alias("code"))
@@ -387,8 +391,8 @@ def import_loads(raw: DataFrame, aliases: DataFrame, snapshot_id: str, timezone:
         filled("origin_zip").alias("origin_zip"), "destination_city",
         lane_state(F.col("destination_state")).alias("destination_state"),
         filled("destination_zip").alias("destination_zip"),
-        miles.cast("int").alias("distance_miles"), "equipment_code",
-        filled("equipment_type").alias("equipment_raw"), weight.cast("int").alias("weight_lbs"),
+        miles.try_cast("int").alias("distance_miles"), "equipment_code",
+        filled("equipment_type").alias("equipment_raw"), weight.try_cast("int").alias("weight_lbs"),
         day.alias("pickup_date"), filled("pickup_window").alias("pickup_window_raw"),
         *pickup_window(F.col("pickup_window"), day, F.lit(timezone)),
         delivery.alias("delivery_date"), rate.alias("offered_rate_usd"),
@@ -411,7 +415,7 @@ def import_rates(raw: DataFrame, aliases: DataFrame, snapshot_id: str):
         ("week_start", week.isNull()),
         *[(f"{c}_rate_per_mile", v.isNull()) for c, v in money.items()],
         ("band_ordering", (money["min"] > money["avg"]) | (money["avg"] > money["max"])),
-        ("load_volume", bad_volume | volume.isNull() | (volume < 0)),
+        ("load_volume", bad_volume | volume.isNull() | (volume < 0) | (volume > _INT)),
     ])
     checked = rows.withColumn("problems", problems)
     rates = checked.where(F.size("problems") == 0).select(
@@ -419,6 +423,6 @@ def import_rates(raw: DataFrame, aliases: DataFrame, snapshot_id: str):
         lane_state(F.col("origin_state")).alias("origin_state"),
         lane_state(F.col("destination_state")).alias("destination_state"), "equipment_code",
         money["avg"].alias("average_rate_per_mile"), money["min"].alias("minimum_rate_per_mile"),
-        money["max"].alias("maximum_rate_per_mile"), volume.cast("int").alias("load_volume"),
+        money["max"].alias("maximum_rate_per_mile"), volume.try_cast("int").alias("load_volume"),
     )
     return rates, checked.where(F.size("problems") > 0)

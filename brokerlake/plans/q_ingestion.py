@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def scan_loads_csv(t: Tables) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("decimal(14,0)") / F.lit(100)
     miles = F.when(key % 11 != 0, (F.col("o_custkey") + 1).cast("string"))
     raw = t.base("orders").select(
-        key.cast("string").alias("load_id"), F.lit('Said "A", B').alias("origin_city"),
+        key.cast("string").alias("load_id"), F.lit('Said "A",\nB').alias("origin_city"),
         F.lit(" pa ").alias("origin_state"), F.lit("").alias("origin_zip"),
         F.lit("Y").alias("destination_city"), F.lit("nj").alias("destination_state"),
         F.lit("07001").alias("destination_zip"),
@@ -64,8 +66,12 @@ def scan_loads_csv(t: Tables) -> DataFrame:
 
 @query("scan_rates_csv", """
 SELECT cast(week_start AS varchar) AS week_start, upper(origin_state) AS origin_state,
-  destination_state, equipment_code, min_cents, avg_cents, max_cents, load_volume
-FROM market_rates WHERE equipment_code <> 'refrigerated'""", ("market_rates",))
+  destination_state, equipment_code, min_cents, avg_cents, max_cents, load_volume,
+  cast(NULL AS varchar) AS problems
+FROM market_rates WHERE equipment_code <> 'refrigerated'
+UNION ALL SELECT cast(week_start AS varchar), upper(origin_state), destination_state, NULL, NULL, NULL,
+  NULL, NULL, 'equipment_type' FROM market_rates WHERE equipment_code = 'refrigerated'""",
+       ("market_rates",))
 def scan_rates_csv(t: Tables) -> DataFrame:
     """Weekly rates written as a rate file and imported; an unknown label rejects its row."""
     label = (
@@ -82,22 +88,41 @@ def scan_rates_csv(t: Tables) -> DataFrame:
     )
     folder = scratch(t.spark)
     raw.write.option("header", True).csv(folder)
-    rates, _ = ingestion.import_rates(
+    rates, rejected = ingestion.import_rates(
         files.read_rates(t.spark, folder), equipment_tables(t)[0], "snap-1"
     )
     cents = lambda c: (F.col(c) * 100).cast("bigint")
-    return rates.select(
+    kept = rates.select(
         F.col("week_start").cast("string"), "origin_state", "destination_state", "equipment_code",
         cents("minimum_rate_per_mile").alias("min_cents"),
         cents("average_rate_per_mile").alias("avg_cents"),
         cents("maximum_rate_per_mile").alias("max_cents"),
-        F.col("load_volume").cast("bigint"),
+        F.col("load_volume").cast("bigint"), F.lit(None).cast("string").alias("problems"),
+    )
+    refused = rejected.select(
+        "week_start", F.upper("origin_state").alias("origin_state"), "destination_state",
+        joined("problems").alias("problems"),
     )
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
+def _array_files(t: Tables, rows: DataFrame, item: Column) -> str:
+    """The items written as files that hold one JSON array each."""
+
+    def framed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        lead = "[ "
+        for batch in batches:
+            lines = []
+            for value in batch.column("value").to_pylist():
+                lines.append(lead + value)
+                lead = ", "
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[ " else "]"]})
 
-def _json_lines(t: Tables, rows: DataFrame, item: Column) -> str:
     folder = scratch(t.spark)
-    rows.select(item.alias("value")).write.text(folder)
+    rows.select(item.alias("value")).mapInArrow(framed, "value string").write.text(folder)
     return folder
 
 
@@ -118,7 +143,7 @@ def scan_carriers_json(t: Tables) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     item = F.when(F.col("carrier_key") % 10 == 9, F.lit('{"email":null}')).otherwise(whole)
-    rows, problems = files.read_carriers(t.spark, _json_lines(t, t.carriers, item), lines=True)
+    rows, problems = files.read_carriers(t.spark, _array_files(t, t.carriers, item))
     read = rows.select(
         F.coalesce("company_name", F.lit("-")).alias("company_name"), "mc_number",
         F.col("preferred_lanes").isNotNull().alias("has_lane"), F.lit(False).alias("problem"),
@@ -151,7 +176,7 @@ def scan_emails_json(t: Tables) -> DataFrame:
             "subject", F.col("body_text").alias("body"),
         )
     )
-    rows, problems = files.read_emails(t.spark, _json_lines(t, t.emails, item), lines=True)
+    rows, problems = files.read_emails(t.spark, _array_files(t, t.emails, item))
     read = rows.select(
         F.lit("email").alias("kind"), F.col("email_id").alias("detail"),
         F.unix_micros("source_occurred_at").alias("at_us"), "content_fingerprint",
