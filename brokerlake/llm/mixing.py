@@ -4,7 +4,9 @@ Every document gets the key -ln(u) / w, with u a hash of its id and w its qualit
 come first, which is sampling without replacement in proportion to w. A source's target is its
 share of all words, at most ``MAX_EPOCHS`` times its size, the excess being shared out again. The
 target's whole multiples of the source are epochs that every document joins; the rest goes to the
-documents whose running sum in key order stays within it, the last one to whichever side is nearer.
+documents that fit into it and whose running sum in key order stays within it. What is then left is
+dealt in the same way among the remaining ones, ``PASSES`` times in all, and the shortest that is left
+over joins if that brings the source nearer to its target.
 
 The running sum is never formed in one task per source: rows are sorted by (source, key) over as
 many ranges as the data needs, each range is summed on its own and raised by what lies before it.
@@ -25,6 +27,8 @@ MAX_EPOCHS = 3
 #: A document without letters still has this weight.
 FLOOR = 0.05
 SEED = "mix-1"
+#: Prefix sums over what fits into a source's rest.
+PASSES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -91,25 +95,34 @@ def repeated(docs: DataFrame, identity: str = "doc_id", weights: tuple[int, ...]
              most: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it, with all its columns.
 
-    In key order a source's extra documents come first, so its epochs and the last extra one say
-    what becomes of every document. That is one row a source: texts are read again, and their keys
-    made again, rather than shuffled. Rows equal in key, identity and size are taken alike.
+    In key order a source's extra documents of the first pass come first among those that fit, so its
+    epochs, its rest and the last of them say what becomes of nearly every document. That is one row a
+    source: texts are read again, and their keys made again, rather than shuffled. The few of later
+    passes are looked up. Rows equal in key, identity and size are taken alike.
     """
-    shares = _shares(docs, identity, weights, most, seed)
+    shares = stored(_shares(docs, identity, weights, most, seed), "shares")
     place = F.struct("_key", F.col(identity).alias("_id"), "size")
     last = stored(
         shares.groupBy(F.col("source").alias("_source")).agg(
-            F.max("_epochs").alias("_epochs"),
-            F.max(F.when(F.col("copies") > F.col("_epochs"), place)).alias("_last"),
+            F.max("_epochs").alias("_epochs"), F.max("_rest").alias("_rest"),
+            F.max(F.when(F.col("_pass") == 1, place)).alias("_last"),
         ), "last",
     )
+    later = stored(shares.where("_pass > 1").select(
+        F.col("source").alias("_from"), place.alias("_place"), F.lit(True).alias("_later")
+    ).distinct(), "later")
     own = F.struct(
         exponential_key(docs[identity], quality_weight(docs["text"]), seed).alias("_key"),
         docs[identity].alias("_id"), word_count(docs["text"]).alias("size"),
     )
-    extra = (own["size"] > 0) & last["_last"].isNotNull() & (own <= last["_last"])
-    copies = last["_epochs"] + F.when(extra, 1).otherwise(0)
-    joined = docs.join(last, docs["source"].eqNullSafe(last["_source"]))
+    early = (
+        (own["size"] > 0) & (own["size"] <= last["_rest"]) & last["_last"].isNotNull()
+        & (own <= last["_last"])
+    )
+    copies = last["_epochs"] + F.when(early | later["_later"].isNotNull(), 1).otherwise(0)
+    joined = docs.join(last, docs["source"].eqNullSafe(last["_source"])).join(
+        later, docs["source"].eqNullSafe(later["_from"]) & own.eqNullSafe(later["_place"]), "left"
+    )
     columns = [docs[c] for c in docs.columns]
     return joined.select(
         *columns, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__copy")
@@ -140,30 +153,73 @@ def _shares(docs: DataFrame, identity: str, weights: tuple[int, ...], most: int,
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranges",
     )
-    # one row per range and source in it
-    sums = ranged.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
-    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
+    open_rows, rests, picked = ranged, plans.select("_source", "_rest"), []
+    for number in range(1, PASSES + 1):
+        found = _fitting(open_rows, rests, number)
+        picked.append(found.where("_pass is not null").select("_part", "_row", "_pass"))
+        spent = found.where("_pass is not null").groupBy("source").agg(F.sum("size").alias("_spent"))
+        rests = stored(
+            rests.join(spent, rests["_source"].eqNullSafe(spent["source"]), "left").select(
+                "_source", (F.col("_rest") - F.coalesce("_spent", F.lit(0))).alias("_rest")
+            ), "rests",
+        )
+        open_rows = found.where("_pass is null").drop("_pass")
+    extra = picked[0]
+    for more in picked[1:]:
+        extra = extra.unionByName(more)
+    extra = stored(extra, "extra")
+    # the shortest document left, if it brings its source nearer
+    near = ranged.join(rests, ranged["source"].eqNullSafe(rests["_source"])).where(
+        "size > 0 and size < 2 * _rest"
+    ).join(extra, ["_part", "_row"], "left_anti").groupBy("source").agg(
+        F.min(F.struct("size", "_key", identity, "_part", "_row")).alias("_first")
+    )
+    extra = extra.unionByName(
+        near.select("_first._part", "_first._row", F.lit(PASSES + 1).alias("_pass"))
+    )
+    return (
+        ranged.join(plans, ranged["source"].eqNullSafe(plans["_source"]))
+        .join(extra, ["_part", "_row"], "left")
+        .withColumn("copies", F.col("_epochs") + F.when(F.col("_pass").isNotNull(), 1).otherwise(0))
+        .select(identity, "source", "size", "source_size", "target", "copies", "_key", "_epochs",
+                "_rest", "_pass")
+    )
+
+
+def _fitting(rows: DataFrame, rests: DataFrame, number: int) -> DataFrame:
+    """Those of ``rows`` that fit into their source's rest; ``_pass`` is the number for those dealt.
+
+    Each range is summed on its own and raised by what lies before it, one row a range and source.
+    """
+    fits = stored(
+        rows.join(rests, rows["source"].eqNullSafe(rests["_source"]))
+        .where("size > 0 and size <= _rest").drop("_source"), "fitting",
     )
+    sums = fits.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
+    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(sums.select(
         F.col("source").alias("_from"), F.col("_part").alias("_range"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
-    ).join(plans, F.col("_from").eqNullSafe(F.col("_source"))).drop("_source"), "offsets")
-    within = Window.partitionBy("_part", "source").orderBy("_row").rowsBetween(
-        Window.unboundedPreceding, -1
+    ), "offsets")
+    upto = Window.partitionBy("_part", "source").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = fits.withColumn("_upto", F.sum("size").over(upto)).join(
+        offsets, (F.col("_part") == F.col("_range")) & F.col("source").eqNullSafe(F.col("_from"))
     )
-    return (
-        ranged.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(offsets, (F.col("_part") == F.col("_range"))
-              & F.col("source").eqNullSafe(F.col("_from")))
-        .withColumn("_extra", 2 * (F.col("_offset") + F.col("_within")) + F.col("size")
-                    <= 2 * F.col("_rest"))
-        .withColumn("copies", F.col("_epochs") + F.when(
-            F.col("_extra") & (F.col("size") > 0) & (F.col("_epochs") < most), 1).otherwise(0))
-        .select(identity, "source", "size", "source_size", "target", "copies", "_key", "_epochs")
+    within = F.col("_offset") + F.col("_upto") <= F.col("_rest")
+    return stored(
+        dealt.withColumn("_pass", F.when(within, F.lit(number))).select(*rows.columns, "_pass"), "dealt"
     )
 
 
+_PASSES_SQL = ", ".join(f"""w{n} AS (
+  SELECT *, NOT taken AND size > 0 AND size <= rest AS fits,
+    sum(CASE WHEN NOT taken AND size > 0 AND size <= rest THEN size ELSE 0 END) OVER (
+      PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM c{n - 1}
+), c{n} AS (
+  SELECT * EXCLUDE (fits, upto) REPLACE (taken OR (fits AND upto <= rest) AS taken, rest - coalesce(
+    sum(CASE WHEN fits AND upto <= rest THEN size END) OVER (PARTITION BY source), 0) AS rest) FROM w{n}
+)""" for n in range(1, PASSES + 1))
+
 #: The same mix as DuckDB SQL over ``documents``.
 MIX_SQL = rf"""
 WITH d AS (
@@ -192,15 +248,17 @@ WITH d AS (
 ), e AS (
   SELECT *, CASE WHEN source_size > 0
     THEN least({MAX_EPOCHS}, floor(target / source_size + 1e-9))::BIGINT ELSE 0 END AS epochs FROM t
-), p AS (
-  SELECT k.*, source_size, target, epochs,
-    greatest(0, target - epochs * source_size) AS rest,
-    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+), c0 AS (
+  SELECT k.*, source_size, target, epochs, greatest(0, target - epochs * source_size) AS rest,
+    false AS taken
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+), {_PASSES_SQL}, near AS (
+  SELECT *, NOT taken AND size > 0 AND size < 2 * rest AS may FROM c{PASSES}
+), last AS (
+  SELECT *, taken OR (may AND row_number() OVER (
+    PARTITION BY source, may ORDER BY size, key, doc_id) = 1) AS extra FROM near
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (epochs + CASE WHEN 2 * before + size <= 2 * rest AND size > 0
-    AND epochs < {MAX_EPOCHS} THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+  (size * (epochs + CASE WHEN extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM last
 """
