@@ -17,6 +17,7 @@ from brokerlake.llm.common import stored, table
 
 #: Names that no column of documents has.
 _SCORE, _ROW, _NAME = "__pipeline_score", "__pipeline_row", "__pipeline_doc_id"
+_KEY, _GROUP = "__pipeline_key", "__pipeline_group"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,23 +28,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """One document of each group of near-duplicates: the smallest id, NULL last, then by hash of text.
 
-    Rows that repeat an id count as one document, the first by hash of its text. Rows without id
-    cannot stand for a group; of these only whole repeats go.
+    Rows are told apart by id and text together, so unlike texts under one id are documents of their
+    own, and rows without id join groups like any other. Rows equal in both are one document.
     """
-    found = simhash.near_duplicates(docs)
+    key = F.xxhash64("doc_id", "text")
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(_ROW), F.col("component_id").alias(_GROUP)
+    )
+    ids = docs.select(key.alias(_NAME), F.col("doc_id").isNull().alias("_last"), "doc_id")
+    first = F.min(F.struct("_last", "doc_id", _NAME))
     chosen = stored(
-        found.where("doc_id = component_id").select(F.col("doc_id").alias(_NAME)).distinct(),
+        ids.join(found.distinct(), F.col(_NAME) == F.col(_ROW))
+        .groupBy(_GROUP).agg(first.alias("_first")).select(F.col(f"_first.{_NAME}").alias(_NAME)),
         "chosen",
     )
-    kept = docs.join(chosen, F.col("doc_id") == F.col(_NAME), "left_semi")
-    # the join has brought equal ids together, so this needs no further shuffle
-    first = kept.groupBy(F.col("doc_id").alias(_NAME)).agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(_ROW)
-    )
-    unnamed = docs.where("doc_id is null").distinct()
-    return first.select(f"{_ROW}.*").unionByName(unnamed)
+    named = docs.withColumn(_KEY, key)
+    kept = named.join(chosen, F.col(_KEY) == F.col(_NAME), "left_semi")
+    # the join has brought equal keys together, so this needs no further shuffle
+    one = kept.groupBy(F.col(_KEY)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(_ROW))
+    return one.select(f"{_ROW}.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
