@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlake.llm.common import prepare, stored, texts
+from brokerlake.llm.tokens import Words
 
 #: Characters of the documents that are aligned at once (a longer one alone), and words remembered.
 _CHARS, _KEEP = 1_000_000, 400_000
@@ -44,38 +45,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b if b in own else next(rest)): b for b in range(256)}
 
 
-class Words:
-    """The ids of words already met, in one flat array with the place of each word."""
-
-    def __init__(self):
-        import numpy as np
-
-        self.ids = np.zeros(1 << 16, "u4")
-        self.ends = np.zeros(1 << 14, "i8")
-        self.count = 0
-
-    def add(self, ids, ends) -> None:
-        """More words: their ids in a row, and where each ends in them."""
-        import numpy as np
-
-        size = int(self.ends[self.count])
-        while self.count + len(ends) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while size + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[size : size + len(ids)] = ids
-        self.ends[self.count + 1 : self.count + 1 + len(ends)] = size + ends
-        self.count += len(ends)
-
-    def take(self, words):
-        """The ids of ``words`` (numbers) in a row, and how many each has."""
-        import numpy as np
-
-        sizes = self.ends[words + 1] - self.ends[words]
-        shift = self.ends[words] - (np.cumsum(sizes) - sizes)
-        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
-
-
 class Sides:
     """Tokenizer A (a byte-level ``tokenizers`` file) and B (a ``sentencepiece`` model)."""
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brokerlake.llm.common import prepare, stored, texts
+from brokerlake.llm.common import prepare, stored
 
 CAPACITY = 4096
 #: Pieces packed together by one task; a few MB of numbers.
@@ -49,7 +49,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, spaces: b
         for batch in batches:
             rows = []
             names = batch.column("doc_id").to_pylist()
-            for name, ids in zip(names, encode.encode(texts(batch.column("text")))):
+            for name, ids in zip(names, encode.encode(batch.column("text"))):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

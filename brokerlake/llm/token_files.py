@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brokerlake.llm.common import prepare, stored, texts, work_folder
+from brokerlake.llm.common import prepare, stored, work_folder
 
 _MANIFEST = "shard int, path string, documents long, ids long, width int"
 _DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None,
                 continue
             if out is None:
                 out = create(path + ".bin")
-            found = [one + end for one in encode.encode(texts(batch.column("text")))]
+            found = [one + end for one in encode.encode(batch.column("text"))]
             out.write(np.frombuffer(b"".join(found), "<u4").astype(f"<u{width}").tobytes())
             lengths.append(np.fromiter((len(one) // 4 for one in found), "<u8", len(found)))
             ids.append(batch.column("doc_id"))

@@ -271,6 +271,13 @@ def test_mix_rows_and_targets(spark, odd, empty):
     taken = docs.select("doc_id", "source").join(mixing.mix(docs), "doc_id").groupBy("source").agg(
         F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()
     assert all(abs(r.taken - r.target) <= r.most for r in taken)
+    # within a hundredth, or half of the shortest document that could still join
+    sizes = {}
+    for r in mixing._shares(docs, "doc_id", mixing.WEIGHTS, mixing.MAX_EPOCHS, mixing.SEED).collect():
+        if r.size and r.copies == r._epochs:
+            sizes.setdefault(r.source, []).append(r.size)
+    for r in taken:
+        assert abs(r.taken - r.target) <= max(r.target / 100, min(sizes.get(r.source, [0])) / 2), r
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
 
 
@@ -290,10 +297,27 @@ def plain_ids(path, text, end):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text, add_special_tokens=False).ids, end]
 
 
+def test_encoder_equals_the_plain_call_on_odd_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from brokerlake.llm.tokens import encoder
+
+    rng = random.Random(3)
+    parts = [*"ab AZ.,'\n\t é中😀ﬁİ\xa0\u3000\x85\x1c", "<|endoftext|>", "<|startoftext|>", " don't ", " 12", " the"]
+    said = [None, "", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000))]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder(path, spaces).encode(pa.array(said))]
+        plain = Tokenizer.from_file(path)
+        assert got == [plain.encode(text or "", add_special_tokens=False).ids for text in said]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
