@@ -7,6 +7,7 @@ instead: a hot key is spread over as many tasks as its share of the data.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``, or one made where it is unset."""
+    """The folder all executors reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder is made in local mode; on a cluster that is an error,
+    as no other machine would see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="brokerlake-"))
     return (named or context.getCheckpointDir()).rstrip("/")
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from brokerlake import scale
@@ -132,3 +134,26 @@ def test_null_corrections_cross_ranges(spark):
         before = [r.carrier_before for r in sorted(audit, key=lambda r: r.action_id)]
         assert before == ["c0", *targets[:-1]]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf, self.sparkContext = {k.replace("_", "."): v for k, v in conf.items()}, Context(master)
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scale.shared_root(Session(master))
+        assert scale.shared_root(Session(master, spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("local", "local[8]", "local[*]", "local[2,3]"):
+        assert "brokerlake-" in scale.shared_root(Session(master))
