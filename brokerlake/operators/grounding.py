@@ -84,29 +84,33 @@ def ground(rows: DataFrame, emails: DataFrame, segments: DataFrame) -> DataFrame
     """Locate each reference in the block it names; NULL span columns where it is not there.
 
     ``emails``: event_id, subject, body_text. ``segments``: event_id, sequence, text,
-    start_seconds, end_seconds, confidence. Rows without a segment keep their event in the
-    second join key, so missing keys do not pile up in one partition.
+    start_seconds, end_seconds, confidence. The distinct references travel to the texts: each text
+    is shuffled once, by the block that it is, and only offsets leave that stage.
     """
-    texts = emails.select(
-        "event_id", F.col("subject").alias("_subject"), F.col("body_text").alias("_body")
-    )
-    spoken = segments.select(
-        "event_id", F.col("sequence").cast("bigint").alias("_segment"),
-        F.col("text").alias("_spoken"), "start_seconds", "end_seconds",
-        F.col("confidence").alias("segment_confidence"),
+    blocks = emails.select("event_id", F.inline(F.array(
+        F.struct(F.lit("subject").alias("source_part"), F.col("subject").alias("_text")),
+        F.struct(F.lit("body").alias("source_part"), F.col("body_text").alias("_text")),
+    ))).withColumn("_segment", F.lit(-1).cast("bigint")).unionByName(
+        segments.select(
+            "event_id", F.lit("transcript").alias("source_part"),
+            F.col("sequence").cast("bigint").alias("_segment"), F.col("text").alias("_text"),
+            "start_seconds", "end_seconds", F.col("confidence").alias("segment_confidence"),
+        ), allowMissingColumns=True,
     )
     segment = F.when(F.col("source_part") == "transcript", F.col("segment_sequence"))
-    block = (
-        F.when(F.col("source_part") == "subject", F.col("_subject"))
-        .when(F.col("source_part") == "body", F.col("_body"))
-        .when(F.col("source_part") == "transcript", F.col("_spoken"))
-    )
-    joined = (
-        rows.withColumn("_segment", F.coalesce(segment, F.lit(-1)).cast("bigint"))
-        .join(texts, "event_id", "left")
-        .join(spoken, ["event_id", "_segment"], "left")
-        .withColumn("_start", nth_occurrence(block, F.col("excerpt"), F.col("occurrence")))
+    keyed = rows.withColumn("_segment", F.coalesce(segment, F.lit(-1)).cast("bigint"))
+    block, reference = ["event_id", "source_part", "_segment"], ["excerpt", "occurrence"]
+    asked = keyed.where(F.col("source_part").isin(*EMAIL_PARTS, "transcript")).select(
+        *block, *reference
+    ).distinct()
+    found = asked.join(blocks, block).select(
+        *[F.col(c).alias(f"_{c}") for c in (*block, *reference)],
+        nth_occurrence(F.col("_text"), F.col("excerpt"), F.col("occurrence")).alias("_start"),
+        "start_seconds", "end_seconds", "segment_confidence",
     )
+    # rows that name no block keep their event in the key, so missing keys do not pile up
+    same = [keyed[c].eqNullSafe(found[f"_{c}"]) for c in (*block, *reference)]
+    joined = keyed.join(found, same, "left").drop(*[found[f"_{c}"] for c in (*block, *reference)])
     located = F.col("_start").isNotNull()
     in_email = located & F.col("source_part").isin(*EMAIL_PARTS)
     in_call = located & (F.col("source_part") == "transcript")
@@ -126,7 +130,7 @@ def ground(rows: DataFrame, emails: DataFrame, segments: DataFrame) -> DataFrame
         .withColumn("span_id", span_id)
         .withColumn("start_seconds", F.when(in_call, F.col("start_seconds")))
         .withColumn("end_seconds", F.when(in_call, F.col("end_seconds")))
-        .drop("_segment", "_subject", "_body", "_spoken", "_start")
+        .drop("_segment", "_start")
     )
 
 

@@ -214,3 +214,40 @@ def test_weak_names_equal_brute_force(spark):
         top = sorted(best.items(), key=lambda e: (-e[1][0], f"{e[0]:03d}"))[:3]
         want = {i + 1: (f"{k:03d}", round(v[0], 9), v[1]) for i, (k, v) in enumerate(top)}
         assert got.get(str(n), {}) == want, name
+
+
+def test_texts_travel_once(spark):
+    refs = spark.createDataFrame(
+        [("e1", "body", "b", 2, None), ("e1", "body", "b", 2, None), ("e1", "subject", "zz", 1, None),
+         ("c1", "transcript", "lo", 1, 0), ("c1", "transcript", "nope", 1, 0), ("c1", "transcript", "x", 1, 9),
+         ("e2", "body", None, 1, None), ("e2", None, None, None, None), ("e1", "body", "b", None, None)],
+        "event_id string, source_part string, excerpt string, occurrence bigint, segment_sequence bigint")
+    emails = spark.createDataFrame([("e1", None, "abcabc"), ("e2", "s", "")],
+                                   "event_id string, subject string, body_text string")
+    segments = spark.createDataFrame([("c1", 0, "hello")], "event_id string, sequence int, text string").selectExpr(
+        "*", "cast(1 as decimal(8,2)) start_seconds", "cast(2 as decimal(8,2)) end_seconds",
+        "cast(0.5 as decimal(5,4)) confidence")
+    found = grounding.ground(refs, emails, segments)
+    got = sorted((r.event_id, r.excerpt or "", r.occurrence or 0, r.span_id or "", float(r.segment_confidence or 0))
+                 for r in found.collect())
+    assert got == sorted([
+        ("e1", "b", 2, "e1#body:4-5", 0.0), ("e1", "b", 2, "e1#body:4-5", 0.0), ("e1", "zz", 1, "", 0.0),
+        ("c1", "lo", 1, "c1#1.00-2.00", 0.5), ("c1", "nope", 1, "", 0.5), ("c1", "x", 1, "", 0.0),
+        ("e2", "", 1, "", 0.0), ("e2", "", 0, "", 0.0), ("e1", "b", 0, "", 0.0)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = grounding.ground(refs, emails, segments)._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+    def exchanged(node):
+        """The columns of each exchange of a plan."""
+        names = [node.output().apply(i).name() for i in range(node.output().size())]
+        own = [names] if node.nodeName() == "Exchange" else []
+        children = node.children()
+        return own + [x for i in range(children.size()) for x in exchanged(children.apply(i))]
+
+    moved = exchanged(plan)
+    texts = {"_text", "text", "subject", "body_text"}
+    assert len(moved) > 2 and sum(bool(texts & set(names)) for names in moved) == 1
