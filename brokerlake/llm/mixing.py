@@ -115,15 +115,18 @@ def repeated(docs: DataFrame, identity: str = "doc_id", weights: tuple[int, ...]
         exponential_key(docs[identity], quality_weight(docs["text"]), seed).alias("_key"),
         docs[identity].alias("_id"), word_count(docs["text"]).alias("size"),
     )
-    early = (
-        (own["size"] > 0) & (own["size"] <= last["_rest"]) & last["_last"].isNotNull()
-        & (own <= last["_last"])
+    # made once, ahead of the joins that use it
+    rows = docs.withColumn("__own", own)
+    joined = rows.join(last, rows["source"].eqNullSafe(last["_source"]))
+    # broadcast is bounded: later passes share what one crossing document a source left
+    joined = joined.join(
+        F.broadcast(later), rows["source"].eqNullSafe(later["_from"])
+        & rows["__own"].eqNullSafe(later["_place"]), "left"
     )
+    size = rows["__own"]["size"]
+    early = (size > 0) & (size <= last["_rest"]) & last["_last"].isNotNull() & (rows["__own"] <= last["_last"])
     copies = last["_epochs"] + F.when(early | later["_later"].isNotNull(), 1).otherwise(0)
-    joined = docs.join(last, docs["source"].eqNullSafe(last["_source"])).join(
-        later, docs["source"].eqNullSafe(later["_from"]) & own.eqNullSafe(later["_place"]), "left"
-    )
-    columns = [docs[c] for c in docs.columns]
+    columns = [rows[c] for c in docs.columns]
     return joined.select(
         *columns, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("__copy")
     ).drop("__copy")
