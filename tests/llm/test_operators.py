@@ -429,3 +429,13 @@ def test_pipeline_odd_rows(spark, odd, empty):
     one = corpus_pipeline.drop_near_copies(spark, odd, DATA).collect()
     ids = [r.doc_id for r in one if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 2 not in ids
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id_and_joins_rows_without_one(spark):
+    long = prose(7, 400)
+    rows = [(1, prose(8, 50)), (1, prose(9, 50)), (None, long), (None, long + " omega"), (5, long), (None, prose(10, 60)),
+            (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, None, "a", len(t or ""), "x", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    assert (simple_fingerprint(long) ^ simple_fingerprint(long + " omega")).bit_count() <= 4
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=repr)
