@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brokerlake.functions.text import email_fingerprint
-from brokerlake.operators.ingestion import dedupe_submissions
+from brokerlake.operators.ingestion import dedupe_submissions, with_fingerprint
 from brokerlake.scale import durable
+from brokerlake.streaming.job_state import use_rocksdb
 
 _KEYS = "content_fingerprint string, event_id string, batch bigint"
 
@@ -25,9 +26,9 @@ def _stored_keys(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_batch(root: str):
-    """A ``foreachBatch`` function that adds the batch's new events under ``root``.
+    """A function that adds the new events of one delivery under ``root``, outside of a stream.
 
-    Each batch owns its partition and a replayed batch overwrites it, comparing itself with
+    It compares with a table of all keys; ``start_ingest`` keeps them as state instead. Each batch owns its partition and a replayed batch overwrites it, comparing itself with
     other batches only. Uniqueness is global, so no watermark may forget a key.
     """
 
@@ -58,10 +59,33 @@ def ingest_batch(root: str):
     return handle
 
 
+def first_of_each(stream: DataFrame) -> DataFrame:
+    """The submissions of a stream whose content no earlier one had.
+
+    Spark keeps one value per fingerprint in its state store, spread over the partitions and
+    never expired, as uniqueness is global: a batch looks its own fingerprints up and reads
+    nothing else of what came before. Of copies that arrive in one batch one is kept.
+    """
+    use_rocksdb(stream.sparkSession)
+    return with_fingerprint(stream).dropDuplicates(["content_fingerprint"])
+
+
 def start_ingest(stream: DataFrame, root: str, checkpoint: str):
-    """Start the ingestion of a submission stream until its source is drained."""
+    """Start the ingestion of a submission stream until its source is drained.
+
+    Each batch owns its partition of ``events``; a replayed batch starts from the state before it
+    and overwrites its partition. The checkpoint holds what has been seen and belongs to ``root``.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+            .parquet(f"{root}/events")
+        )
+
     return (
-        stream.writeStream.foreachBatch(ingest_batch(root))
+        first_of_each(stream).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

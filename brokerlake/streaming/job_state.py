@@ -1,4 +1,4 @@
-"""Job lifecycle as a stateful stream: one small state per job."""
+"""Job lifecycle as a stateful stream: transitions wait in event-time order until they settle."""
 
 from __future__ import annotations
 
@@ -6,17 +6,24 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from brokerlake import vocab
-from brokerlake.operators.jobs import next_state
+from brokerlake.operators.jobs import TRANSITIONS, next_state
 
-STATE = "status string, retry_count int, seq bigint, swept_at double"
+#: what has settled: the state, and the place of the last transition in it
+SETTLED = "status string, retry_count int, at bigint, seq bigint"
+#: transitions of one stretch of time that have not settled
+WAITING = "at array<bigint>, seq array<bigint>, code array<int>"
 OUTPUT = (
     "job_id string, transition string, seq_key bigint, accepted boolean, status string,"
-    " retry_count int, last_error_code string"
+    " retry_count int, last_error_code string, at bigint, late boolean"
 )
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: place of a transition without time: before all others, as in the batch fold
+_NO_TIME = -(2**62)
+_START = ("queued", 0, -(2**63), -(2**63))
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -24,65 +31,165 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+
 class JobProcessor(StatefulProcessor):
-    """Applies legal transitions and ignores the others. With ``stale_seconds`` a job that stays
-    in processing that long is failed by a processing-time timer."""
+    """Applies legal transitions in the order of (time, sequence) and ignores the others.
+
+    A transition settles once the clock has passed it by ``lateness`` seconds: the watermark, or
+    with ``stale_seconds`` the job's own newest transition. Until then it waits in a map from
+    stretches of time to transitions, and one that arrives before it is applied before it: the
+    waiting ones from there on come out again with their new states. Only a transition that
+    belongs before a settled one cannot be applied; it comes out as late. One delivered twice
+    counts once while it waits. With ``stale_seconds`` a job that stays in processing that long
+    is failed by a processing-time timer, which settles all that waits.
+    """
 
-    def __init__(self, stale_seconds: int | None) -> None:
+    def __init__(self, stale_seconds: int | None, lateness: int) -> None:
         self._stale_seconds = stale_seconds
+        self._lateness = lateness * 1_000_000
+        self._stretch = max(1, self._lateness)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("job", STATE)
+        self._settled = handle.getValueState("settled", SETTLED)
+        self._waiting = handle.getMapState("waiting", "stretch bigint", WAITING)
+
+    def _state(self) -> tuple:
+        return tuple(self._settled.get()) if self._settled.exists() else _START
+
+    def _queue(self) -> list[tuple[int, int, int]]:
+        """The waiting transitions in order, each once."""
+        found = {
+            (int(at), int(seq)): int(code)
+            for _, value in self._waiting.iterator() for at, seq, code in zip(*value)
+        }
+        return [(at, seq, found[at, seq]) for at, seq in sorted(found)]
+
+    def _wait(self, frame: pd.DataFrame) -> None:
+        for stretch, rows in frame.groupby(frame["at"] // self._stretch):
+            known = self._waiting.getValue((int(stretch),)) or ([], [], [])
+            new = (rows["at"], rows["seq_key"], rows["code"])
+            self._waiting.updateValue(
+                (int(stretch),), tuple([*map(int, a), *map(int, b)] for a, b in zip(known, new))
+            )
+
+    def _settle(self, queue: list[tuple[int, int, int]], before: int) -> None:
+        """Fold the waiting transitions before a time into the settled state."""
+        status, retries, last_at, last_seq = self._state()
+        rest: dict[int, list] = {}
+        for at, seq, code in queue:
+            if at < before:
+                status, retries = next_state(TRANSITIONS[code], status, retries) or (status, retries)
+                last_at, last_seq = at, seq
+            else:
+                rest.setdefault(at // self._stretch, []).append((at, seq, code))
+        self._settled.update((status, int(retries), int(last_at), int(last_seq)))
+        self._waiting.clear()
+        for stretch, rows in rest.items():
+            self._waiting.updateValue((stretch,), tuple(map(list, zip(*rows))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, retries = "queued", 0
-        if self._state.exists():
-            status, retries = self._state.get()[:2]
-        logs = pd.concat(list(rows), ignore_index=True).sort_values(["at_time", "seq_key"])
-        out = []
-        for name, seq in zip(logs["transition"], logs["seq_key"]):
-            after = next_state(name, status, retries)
-            if after is not None:
-                status, retries = after
-            out.append((key[0], name, int(seq), after is not None, status, retries, None))
-        self._state.update((status, retries, int(logs["seq_key"].iloc[-1]), 0.0))
-        if self._stale_seconds is not None:
+        status, retries, last_at, last_seq = self._state()
+        first = newest = None
+        for frame in rows:
+            behind = (frame["at"] < last_at) | (
+                (frame["at"] == last_at) & (frame["seq_key"] < last_seq)
+            )
+            if behind.any():
+                yield _frame([
+                    (key[0], name, int(seq), False, status, int(retries), None, int(at), True)
+                    for name, seq, at in zip(*(frame.loc[behind, c] for c in ("transition", "seq_key", "at")))
+                ])
+            again = (frame["at"] == last_at) & (frame["seq_key"] == last_seq)
+            frame = frame[~behind & ~again]
+            if frame.empty:
+                continue
+            self._wait(frame)
+            place = min(zip(frame["at"], frame["seq_key"]))
+            first = place if first is None else min(first, place)
+            newest = int(frame["at"].max()) if newest is None else max(newest, int(frame["at"].max()))
+        if first is None:
+            return
+        queue, out = self._queue(), []
+        for at, seq, code in queue:
+            after = next_state(TRANSITIONS[code], status, retries)
+            status, retries = after or (status, retries)
+            if (at, seq) >= first:
+                out.append((key[0], TRANSITIONS[code], seq, after is not None, status, int(retries),
+                            None, at, False))
+        if self._stale_seconds is None:
+            # the watermark reaches it when nothing older is due any more
+            self._handle.registerTimer(max(1, newest // 1000 + 1))
+        else:
+            self._settle(queue, queue[-1][0] - self._lateness)
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
             if status == "processing":
                 now = timerValues.getCurrentProcessingTimeInMs()
                 self._handle.registerTimer(now + self._stale_seconds * 1000)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._state.exists():
+        queue = self._queue()
+        if self._stale_seconds is None:
+            self._settle(queue, expiredTimerInfo.getExpiryTimeInMs() * 1000)
             return
-        status, retries, seq, _ = self._state.get()
+        self._settle(queue, 2**63)
+        status, retries, at, seq = self._state()
         if status != "processing":
             return
-        self._state.update(("failed", retries, seq, float(expiredTimerInfo.getExpiryTimeInMs())))
-        yield pd.DataFrame(
-            [(key[0], "sweep", int(seq), True, "failed", int(retries), "stale_processing")],
-            columns=[c.split()[0] for c in OUTPUT.split(", ")],
-        )
+        self._settled.update(("failed", retries, at, seq))
+        yield _frame([
+            (key[0], "sweep", int(seq), True, "failed", int(retries), "stale_processing", int(at), False)
+        ])
 
     def close(self) -> None:
         pass
 
 
 def job_state_stream(
-    transitions: DataFrame, stale_seconds: int | None = vocab.STALE_PROCESSING_SECONDS
+    transitions: DataFrame,
+    stale_seconds: int | None = vocab.STALE_PROCESSING_SECONDS,
+    lateness_seconds: int = vocab.STALE_PROCESSING_SECONDS,
 ) -> DataFrame:
-    """One output row per transition (and per sweep), with the state after it.
+    """The state after each transition (and sweep), in order of time over all micro-batches.
 
-    Timers keep a query running for ever; pass ``stale_seconds=None`` to drain a source and stop,
-    and sweep the result as a batch.
+    A transition comes out again when an earlier one arrives after it; its row of the latest
+    batch counts. ``late`` marks those that arrived after a later one had settled; they are not
+    applied. Timers keep a query running for ever; pass ``stale_seconds=None`` to drain a source
+    and stop, and sweep the result as a batch. The stream must not have a watermark yet.
     """
     use_rocksdb(transitions.sparkSession)
-    return transitions.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobProcessor(stale_seconds),
+    names = F.array(*[F.lit(n) for n in TRANSITIONS])
+    timed = transitions
+    if stale_seconds is None:
+        timed = timed.withWatermark("at_time", f"{lateness_seconds} seconds")
+    # the place is a column of its own, so that late rows reach the processor and are marked
+    placed = timed.select(
+        F.col("job_id"), "transition", "seq_key",
+        F.coalesce(F.unix_micros("at_time"), F.lit(_NO_TIME)).alias("at"),
+        (F.array_position(names, F.col("transition")) - 1).cast("int").alias("code"),
+    )
+    states = placed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobProcessor(stale_seconds, lateness_seconds),
         outputStructType=OUTPUT,
         outputMode="Update",
-        timeMode="None" if stale_seconds is None else "ProcessingTime",
+        timeMode="EventTime" if stale_seconds is None else "ProcessingTime",
+    )
+    at_time = F.when(F.col("at") != _NO_TIME, F.timestamp_micros("at"))
+    return states.withColumn("at_time", at_time).drop("at")
+
+
+def latest_states(rows: DataFrame, batch: str = "batch") -> DataFrame:
+    """The newest state of each job from all rows that the stream has put out.
+
+    Of the rows with the job's last place that of the latest batch counts.
+    """
+    place = F.struct("at_time", "seq_key", batch)
+    return rows.where("NOT late").groupBy("job_id").agg(
+        F.max_by("status", place).alias("status"),
+        F.max_by("retry_count", place).alias("retry_count"),
     )

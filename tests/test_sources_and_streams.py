@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 import wave
 
 import pytest
@@ -198,3 +199,72 @@ def test_sweep_and_retry_rules(spark):
         ("a", "selected"), ("b", "selected"), ("d", "skipped_retry_limit")}
     after = {r.job_id: (r.status, r.retry_count) for r in jobs.retry_jobs(picked, again).collect()}
     assert after["a"] == ("queued", 1) and after["d"] == ("failed", vocab.MAX_JOB_RETRIES)
+
+
+def _drain_jobs(spark, root, deliveries, lateness):
+    """One run of the query per delivery; rows of (job, transition, seconds, sequence)."""
+    def store(rows, number):
+        rows.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    for rows in deliveries:
+        spark.createDataFrame(rows, "job_id string, transition string, s double, seq_key bigint").select(
+            "job_id", "transition", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("at_time"),
+            "seq_key").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schemas.JOB_TRANSITION).parquet(f"{root}/in")
+        (job_state.job_state_stream(stream, None, lateness).writeStream.foreachBatch(store)
+         .outputMode("update").option("checkpointLocation", f"{root}/state")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
+
+
+def test_late_transitions_over_many_batches_equal_the_batch_fold(spark, tmp_path):
+    pick = random.Random(5)
+    # ties in time, and one job with most of the rows
+    log = [(pick.choice("aaaabcd"), pick.choice(jobs.TRANSITIONS), 1e6 + float(pick.randrange(4000)), n)
+           for n in range(400)]
+    sent = sorted(log, key=lambda r: r[2] + pick.randrange(900))
+    deliveries = [sent[at:at + 80] for at in range(0, 400, 80)]
+    deliveries[3] = deliveries[3] + deliveries[2][-5:]  # delivered twice
+    rows = _drain_jobs(spark, tmp_path, deliveries, 1000)
+    got = {r.job_id: (r.status, r.retry_count) for r in job_state.latest_states(rows).collect()}
+    want = {}
+    for job, name, _, _ in sorted(log, key=lambda r: (r[2], r[3])):
+        state = want.get(job, ("queued", 0))
+        want[job] = jobs.next_state(name, *state) or state
+    assert got == want
+    assert not rows.where("late").count()
+    assert rows.count() > 400  # some came out again, after an earlier one arrived
+
+
+def test_transition_before_a_settled_one_is_marked(spark, tmp_path):
+    deliveries = [
+        [("j", "claim", 1000.0, 1), ("j", "complete", 1010.0, 2), ("k", "claim", 1000.0, 3)],
+        [("x", "claim", 5000.0, 4)],  # the watermark passes all of the above
+        [("j", "fail", 1005.0, 5), ("k", "fail", 1005.0, 6), ("j", "claim", 1010.0, 2)],
+    ]
+    rows = _drain_jobs(spark, tmp_path, deliveries, 60)
+    # k has nothing settled behind its late row; j has, and its repeated row is ignored
+    assert [r.seq_key for r in rows.where("late").collect()] == [5]
+    got = {r.job_id: r.status for r in job_state.latest_states(rows).collect()}
+    assert got == {"j": "completed", "k": "failed", "x": "processing"}
+
+
+def test_contents_are_taken_in_once_over_five_batches(spark, tmp_path):
+    schema = "event_id string, sender_email_raw string, subject string, body_text string, submitted_at timestamp"
+    contents = [["a", "b"], ["b", "c", "c"], ["a"], ["d", "a"], ["d", "e", "b"]]
+    for n, bodies in enumerate(contents):
+        spark.createDataFrame([(f"{n}-{i}", "s@t", "x", body, None) for i, body in enumerate(bodies)], schema
+                              ).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schemas.SUBMISSION).parquet(f"{tmp_path}/in")
+        ingest.start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    taken = lambda: sorted(
+        (r.batch, r.body_text) for r in spark.read.parquet(f"{tmp_path}/out/events").collect())
+    assert taken() == [(0, "a"), (0, "b"), (1, "c"), (3, "d"), (4, "e")]
+    # the last batch is run again, as after a crash before its commit
+    (tmp_path / "state" / "commits" / "4").unlink()
+    (tmp_path / "state" / "commits" / ".4.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema(schemas.SUBMISSION).parquet(f"{tmp_path}/in")
+    query = ingest.start_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert taken() == [(0, "a"), (0, "b"), (1, "c"), (3, "d"), (4, "e")]
+    assert [s.operatorName for s in query.lastProgress.stateOperators] == ["dedupe"]
