@@ -7,13 +7,19 @@ from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
 
-# a quoted attribute may hold ">"; one without an end, or a very long one, is read up to ">"
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)"
-    r"((?:[^>\"']*(?:\"[^\"]{0,5000}\"|'[^']{0,5000}')?)*+|[^>]*)>",
-    re.S,
-)
+def _tag(quoted: str) -> re.Pattern:
+    """A comment, a declaration or a tag; ``[4]`` instead of ``[3]`` if a quote has no end."""
+    return re.compile(
+        r"<!--(?:.*?-->|.*)|<[!?][^>]*>?"
+        rf"|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']*(?:{quoted})?)*+)>|([^>]*)>)",
+        re.S,
+    )
+
+
+# a quoted attribute of any length may hold ">"; a tag with a quote without an end is read up to ">"
+_TAG = _tag(r"\"[^\"]*\"|'[^']*'")
+# behind such a tag quotes end before the next "<", so that no text is read once for each tag
+_TAG_BROKEN = _tag(r"\"[^\"<]*\"|'[^'<]*'")
 _ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 
@@ -199,6 +205,9 @@ class Page:
             name = found[2]
             if not name:
                 continue
+            attributes = found[3]
+            if attributes is None:
+                search, attributes = _TAG_BROKEN.search, found[4]
             name = name.lower()
             if name in BLOCKS:
                 self._break()
@@ -215,8 +224,8 @@ class Page:
                 path = crc32(name.encode(), self._stack[-1].path)
                 self.tags += [path << 1, path << 1 | 1]
                 continue
-            self._open(name, found[3])
-            if found[3].endswith("/") and name not in VOID and name in ("svg", "math"):
+            self._open(name, attributes)
+            if attributes.endswith("/") and name not in VOID and name in ("svg", "math"):
                 self._close(name)
         if at < len(html):
             rest = html[at:]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brokerlake.llm import (
-    embeddings, fingerprints, html_extraction, mixing, packing, pii, quality, simhash, token_files, warc,
+    embeddings, fingerprints, html_extraction, html_pages, mixing, packing, pii, quality, simhash,
+    token_files, warc,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -439,3 +441,24 @@ def test_pipeline_keeps_unlike_texts_of_one_id_and_joins_rows_without_one(spark)
     assert (simple_fingerprint(long) ^ simple_fingerprint(long + " omega")).bit_count() <= 4
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()]
     assert sorted(got, key=repr) == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=repr)
+
+
+def _page_text(html):
+    return "\n".join(block.text for block in html_pages.Page(html).blocks)
+
+
+@pytest.mark.parametrize("length", [10, 4_000, 6_000, 300_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_quoted_attributes_of_any_length(length, quote):
+    html = f"<p title={quote}{'x' * length}> LEAKED words{quote}>real</p><p>next</p>"
+    assert _page_text(html) == "real\nnext"
+
+
+def test_quotes_without_an_end_cost_no_text_and_no_time():
+    broken = '<p class="x>one</p><p class="y">two</p><p id=\'z > z\'>three</p>'
+    assert _page_text(broken) == "one\ntwo\nthree"
+    # every tag's quotes would otherwise be read to the end of the page
+    started = time.monotonic()
+    html_pages.Page("<p a='\"><b a=\"'>" * 40_000 + "<i \">")
+    html_pages.Page("<p \"<p a>\"" * 80_000 + "\"<p>")
+    assert time.monotonic() - started < 20
