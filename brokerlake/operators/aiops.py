@@ -37,7 +37,7 @@ def op_cost(calls: DataFrame) -> DataFrame:
 
 
 def op_rollup(calls: DataFrame) -> DataFrame:
-    """Per operation: calls, tokens, cost, whole milliseconds and the last call's error."""
+    """Per operation: calls, tokens, seconds of audio, cost, whole milliseconds, the last call's error."""
     started, completed = F.min("started_at"), F.max("completed_at")
     micros = F.unix_micros(completed) - F.unix_micros(started)
     tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
@@ -48,7 +48,10 @@ def op_rollup(calls: DataFrame) -> DataFrame:
         F.sum(tokens).alias("total_tokens"),
         F.sum("estimated_cost").alias("estimated_cost"),
         (micros - micros % 1000).alias("_micros"),
-        F.max_by("error_code", "sequence").alias("last_error_code"),
+        # calls of one place are told apart by their times, then by the error itself
+        F.max_by("error_code", F.struct("sequence", "started_at", "completed_at", "error_code"))
+        .alias("last_error_code"),
+        F.sum("audio_seconds").alias("audio_seconds"),
     ).withColumn("latency_ms", F.expr("_micros div 1000")).drop("_micros")
 
 

@@ -401,7 +401,7 @@ def assessment_history(
     ``existing`` holds candidate_id, fact_hash, evaluated_at of all earlier assessments.
     """
     newest = existing.groupBy("candidate_id").agg(
-        F.max_by("fact_hash", "evaluated_at").alias("known_hash")
+        F.max_by("fact_hash", F.struct("evaluated_at", "fact_hash")).alias("known_hash")
     )
     return (
         assessed.withColumn("fact_hash", fact_hash())

@@ -249,6 +249,20 @@ def insert_new(
     )
 
 
+def open_rows(rows: DataFrame, batches: DataFrame) -> DataFrame:
+    """Rows of sources whose batch is not completed yet; a completed batch is never run again."""
+    done = batches.where("status = 'completed'").select("source_type").distinct()
+    return rows.join(done, "source_type", "left_anti")
+
+
+def rerun_batches(batches: DataFrame, results: DataFrame) -> DataFrame:
+    """The batches after another run: completed ones and those without rows stay, others are
+    replaced by what ``results`` (as in ``batch_stats``) says. Sources are few, one row each."""
+    again = batch_stats(open_rows(results, batches))
+    kept = batches.join(again.select("source_type"), "source_type", "left_anti")
+    return kept.unionByName(again)
+
+
 def batch_stats(results: DataFrame) -> DataFrame:
     """Per source: seen, created, existing, failed, status and the first 20 errors.
 

@@ -313,6 +313,7 @@ SELECT cast(cast(floor(event_id / 3) AS bigint) AS string) AS operation_id,
   event_id % 3 + 1 AS sequence,
   cast(regexp_extract(props, '[0-9]+', 0) AS bigint) AS prompt_tokens,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS completion_tokens,
+  CASE WHEN event_id % 7 = 0 THEN user_id % 600 END AS audio_seconds,
   cast(round(value * 100) AS bigint) AS cost_micros,
   CASE WHEN event_type = 'error' THEN concat('e', cast(event_id % 4 AS string)) END AS error_code,
   cast(date '2024-01-01' + cast(event_id % 30 AS int) AS timestamp) AS started_at,

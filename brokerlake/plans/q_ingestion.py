@@ -400,6 +400,31 @@ def import_batch_accounting(t: Tables) -> DataFrame:
     return ingestion.batch_stats(results)
 
 
+@query("import_batch_rerun", """, r AS (
+  SELECT event_type AS source_type, CASE
+    WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'created'
+    WHEN event_type <> 'view' AND user_id % 10 = 0 THEN 'failed' ELSE 'existing' END AS outcome
+  FROM events)
+SELECT source_type, count(*) AS records_seen,
+  count(*) FILTER (WHERE outcome = 'created') AS records_created,
+  count(*) FILTER (WHERE outcome = 'existing') AS records_existing,
+  count(*) FILTER (WHERE outcome = 'failed') AS records_failed,
+  CASE WHEN count(*) FILTER (WHERE outcome = 'failed') > 0 THEN 'partially_failed'
+    ELSE 'completed' END AS status
+FROM r GROUP BY 1""")
+def import_batch_rerun(t: Tables) -> DataFrame:
+    """A second run after that of ``import_batch_accounting``: the view batch was completed."""
+    failed = (F.col("event_type") != "view") & (F.col("user_id") % 10 == 0)
+    results = t.base("events").select(
+        F.col("event_type").alias("source_type"), F.col("event_id").alias("ordinal"),
+        F.when(failed, "failed").otherwise("existing").alias("outcome"),
+        F.lit("ValueError").alias("error"),
+    )
+    # one row per source is read twice
+    batches = durable(import_batch_accounting(t))
+    return ingestion.rerun_batches(batches, results).drop("error_summary")
+
+
 @query("write_tables", """
 SELECT 'snap-' || carrier_key % 5 AS snapshot_id,
   count(*) * CASE WHEN carrier_key % 5 = 0 THEN 1 ELSE 2 END AS row_count,

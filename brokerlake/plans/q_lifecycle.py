@@ -310,6 +310,7 @@ def draft_status(t: Tables) -> DataFrame:
 SELECT operation_id, count(*) AS call_count, cast(sum(prompt_tokens) AS bigint) AS prompt_tokens,
   cast(sum(completion_tokens) AS bigint) AS completion_tokens,
   cast(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS bigint) AS total_tokens,
+  cast(sum(audio_seconds) AS bigint) AS audio_seconds,
   cast(sum(cost_micros) AS bigint) AS cost_micros,
   (epoch_us(max(completed_at)) - epoch_us(min(started_at))) // 1000 AS latency_ms,
   arg_max_null(error_code, sequence) AS last_error_code FROM provider_calls GROUP BY 1""",

@@ -268,3 +268,17 @@ def test_contents_are_taken_in_once_over_five_batches(spark, tmp_path):
     query.awaitTermination()
     assert taken() == [(0, "a"), (0, "b"), (1, "c"), (3, "d"), (4, "e")]
     assert [s.operatorName for s in query.lastProgress.stateOperators] == ["dedupe"]
+
+
+def test_completed_batches_are_not_run_again(spark):
+    schema = "source_type string, ordinal long, outcome string, error string"
+    batches = ingestion.batch_stats(spark.createDataFrame(
+        [("a", 0, "created", None), ("b", 0, "failed", "E"), ("c", 0, "failed", "E")], schema))
+    again = spark.createDataFrame(
+        [("a", 0, "failed", "E"), ("a", 1, "created", None), ("b", 0, "created", None), ("d", 0, "created", None)],
+        schema)
+    got = {r.source_type: (r.status, r.records_seen, r.records_failed, r.error_summary)
+           for r in ingestion.rerun_batches(batches, again).collect()}
+    assert got == {"a": ("completed", 1, 0, ""), "b": ("completed", 1, 0, ""),
+                   "c": ("partially_failed", 1, 1, "row 0: E"), "d": ("completed", 1, 0, "")}
+    assert not ingestion.rerun_batches(batches.limit(0), again.limit(0)).count()
