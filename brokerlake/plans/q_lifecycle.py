@@ -637,13 +637,11 @@ def stream_ingest(t: Tables) -> DataFrame:
         "event_id", "sender_email_raw", "subject", "body_text",
         F.col("received_at").alias("submitted_at"),
     )
-    sent.write.parquet(f"{folder}/in")
-    sent.write.mode("append").parquet(f"{folder}/in")
-    # half of the delivery per batch
-    stream = t.spark.readStream.schema(schemas.SUBMISSION).option("maxFilesPerTrigger", 1).parquet(
-        f"{folder}/in"
-    )
-    ingest.start_ingest(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    # one batch per delivery, however many files it has
+    for _ in range(2):
+        sent.write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(schemas.SUBMISSION).parquet(f"{folder}/in")
+        ingest.start_ingest(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out/events").groupBy("content_fingerprint").agg(
         F.count("*").alias("copies")
     )

@@ -29,6 +29,7 @@ _START = ("queued", 0, -(2**63), -(2**63))
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep state on disk beside the executors, with changes in the checkpoint folder."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
