@@ -1,16 +1,19 @@
 """Strict contract for extracted JSON, and its typed, exploded form.
 
-The contract is checked on ``VARIANT`` values in the JVM: unknown keys, missing versus null
-keys, kinds, enumerations and ranges, at every level. Numbers may arrive as numeric strings.
+The contract (``contract``) is compiled once and walks each document once, a batch at a time:
+unknown keys, missing versus null keys, kinds, enumerations and ranges, at every level. Numbers may
+arrive as numeric strings. Only the JSON column travels to Python; typed rows come from Spark.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brokerlake import vocab
 from brokerlake.functions.text import casefold, strip, strip_nul
+from brokerlake.operators import contract
 from brokerlake.scale import durable
 
 _EVIDENCE = (
@@ -45,231 +48,55 @@ _INQUIRY_KEYS = (
     "availability", "intents", "rates", "questions", "summary",
 )
 
-Errors = list[Column]
-
-
-def _fields(value: Column) -> Column:
-    return value.try_cast("map<string,variant>")
-
-
-def _items(value: Column) -> Column:
-    return value.try_cast("array<variant>")
-
-
-def _kind(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT or ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
-def _get(fields: Column, key: str) -> Column:
-    return F.try_element_at(fields, F.lit(key))
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _error(when: Column, path: Column, kind: str) -> Column:
-    return F.when(when, F.concat(path, F.lit(": " + kind)))
-
-
-def _at(path: Column, key: str) -> Column:
-    return F.concat(path, F.lit("." + key))
-
-
-def _whole_number(value: Column) -> Column:
-    """Value of an integer-like variant (number, integral string or boolean), else NULL."""
-    text, kind = value.try_cast("string"), _kind(value)
-    integral = text.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$")
-    return F.when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0)).when(
-        kind.isin("BIGINT", "DECIMAL", "DOUBLE", "STRING") & integral,
-        text.try_cast("decimal(30,4)"),
-    )
-
-
-def _object_errors(fields: Column, path: Column, allowed, required) -> Errors:
-    """Not an object, unknown keys, missing keys."""
-    known = F.array(*[F.lit(k) for k in allowed])
-    errors = [
-        _error(fields.isNull(), path, "not_an_object"),
-        _error(F.size(F.array_except(F.map_keys(fields), known)) > 0, path, "unknown_key"),
-    ]
-    present = fields.isNotNull()
-    for key in required:
-        errors.append(
-            _error(present & ~F.map_contains_key(fields, key), _at(path, key), "missing")
-        )
-    return errors
-
-
-def _text_error(fields: Column, path: Column, key: str, nullable=False, non_empty=False) -> Errors:
-    value = _get(fields, key)
-    present = F.map_contains_key(fields, key)
-    is_null = F.is_variant_null(value)
-    wrong = present & (_kind(value) != "STRING")
-    if nullable:
-        wrong = wrong & ~is_null
-    errors = [_error(wrong, _at(path, key), "not_text")]
-    if non_empty:
-        errors.append(_error(present & (value.try_cast("string") == ""), _at(path, key), "empty"))
-    return errors
-
-
-def _enum_error(fields: Column, path: Column, key: str, options) -> Errors:
-    value = _get(fields, key)
-    listed = (_kind(value) == "STRING") & value.try_cast("string").isin(*options)
-    wrong = F.map_contains_key(fields, key) & ~listed
-    return [_error(wrong, _at(path, key), "not_in_vocabulary")]
-
-
-def _evidence_errors(fields: Column, path: Column, key: str) -> Column:
-    """Error texts of one optional evidence reference, as an array column."""
-    value = _get(fields, key)
-    given = value.isNotNull() & ~F.is_variant_null(value)
-    here = _at(path, key)
-    found = _let(_fields(value), lambda inner: _present(_reference_errors(inner, here)))
-    return F.when(given, found).otherwise(F.array().cast("array<string>"))
-
-
-def _reference_errors(inner: Column, here: Column) -> Errors:
-    occurrence, segment = _get(inner, "occurrence"), _get(inner, "segment_sequence")
-    count = _whole_number(occurrence)
-    return [
-        *_object_errors(inner, here, _EVIDENCE_KEYS, ("source_part", "excerpt")),
-        *_enum_error(inner, here, "source_part", vocab.SOURCE_PARTS),
-        *_text_error(inner, here, "excerpt", non_empty=True),
-        _error(
-            F.map_contains_key(inner, "occurrence") & F.coalesce(count < 1, F.lit(True)),
-            _at(here, "occurrence"), "not_a_positive_integer",
-        ),
-        _error(
-            F.map_contains_key(inner, "segment_sequence") & ~F.is_variant_null(segment)
-            & _whole_number(segment).isNull(),
-            _at(here, "segment_sequence"), "not_an_integer",
-        ),
-    ]
-
-
-def _present(errors: Errors) -> Column:
-    return F.filter(F.array(*errors), lambda e: e.isNotNull())
-
-
-def _list_errors(fields: Column, path: Column, key: str, item_errors) -> list[Column]:
-    """Arrays of error texts for a required list and each of its items."""
-    value = _get(fields, key)
-    items = _items(value)
-    shape = _present(
-        [_error(F.map_contains_key(fields, key) & items.isNull(), _at(path, key), "not_a_list")]
+def _inquiry_contract() -> contract.Check:
+    evidence = contract.optional(contract.record(
+        _EVIDENCE_KEYS, ("source_part", "excerpt"),
+        ("source_part", contract.choice(vocab.SOURCE_PARTS)),
+        ("excerpt", contract.text(non_empty=True)),
+        ("occurrence", contract.whole("not_a_positive_integer", least=1)),
+        ("segment_sequence", contract.whole("not_an_integer", nullable=True)),
+    ))
+    rate = contract.record(
+        _RATE_KEYS, ("amount", "role", "basis"),
+        ("amount", contract.amount()), ("currency", contract.text()),
+        ("role", contract.choice(vocab.QUOTE_TYPES)), ("basis", contract.choice(vocab.RATE_BASES)),
+        ("evidence", evidence),
     )
-    inner = F.flatten(
-        F.transform(
-            items,
-            lambda item, i: item_errors(
-                item, F.concat(_at(path, key), F.lit("."), i.cast("string"))
-            ),
-        )
+    question = contract.record(
+        _QUESTION_KEYS, ("category", "text"),
+        ("category", contract.choice(vocab.QUESTION_CATEGORIES)),
+        ("text", contract.text(non_empty=True)), ("evidence", evidence),
     )
-    return [shape, F.coalesce(inner, F.array().cast("array<string>"))]
-
-
-def _rate_errors(item: Column, path: Column) -> Column:
-    return _let(_fields(item), lambda fields: F.concat(
-        _present(_rate_checks(fields, path)), _evidence_errors(fields, path, "evidence")
-    ))
-
-
-def _rate_checks(fields: Column, path: Column) -> Errors:
-    amount = _get(fields, "amount")
-    number = F.when(
-        _kind(amount).isin("BIGINT", "DECIMAL", "DOUBLE", "STRING"),
-        amount.try_cast("string").try_cast("decimal(38,10)"),
+    nullable = contract.text(nullable=True)
+    return contract.record(
+        _INQUIRY_KEYS,
+        (*_NULLABLE_REQUIRED, "availability", "intents", "rates", "questions", "summary"),
+        *((key, nullable) for key in (*_NULLABLE_REQUIRED, *_NULLABLE_OPTIONAL)),
+        ("summary", contract.text()),
+        ("availability", contract.choice(vocab.EXTRACTED_AVAILABILITY)),
+        ("intents", contract.not_empty_list),
+        *((key, evidence) for key in _INQUIRY_EVIDENCE),
+        ("intents", contract.each(contract.choice(vocab.INTENTS))),
+        ("rates", contract.each(rate)), ("questions", contract.each(question)),
     )
-    return [
-        *_object_errors(fields, path, _RATE_KEYS, ("amount", "role", "basis")),
-        _error(
-            F.map_contains_key(fields, "amount") & F.coalesce(number <= 0, F.lit(True)),
-            _at(path, "amount"), "not_a_positive_number",
-        ),
-        *_text_error(fields, path, "currency"),
-        *_enum_error(fields, path, "role", vocab.QUOTE_TYPES),
-        *_enum_error(fields, path, "basis", vocab.RATE_BASES),
-    ]
-
-
-def _question_errors(item: Column, path: Column) -> Column:
-    def checks(fields: Column) -> Column:
-        return F.concat(
-            _present([
-                *_object_errors(fields, path, _QUESTION_KEYS, ("category", "text")),
-                *_enum_error(fields, path, "category", vocab.QUESTION_CATEGORIES),
-                *_text_error(fields, path, "text", non_empty=True),
-            ]),
-            _evidence_errors(fields, path, "evidence"),
-        )
-
-    return _let(_fields(item), checks)
 
 
-def _intent_errors(item: Column, path: Column) -> Column:
-    listed = (_kind(item) == "STRING") & item.try_cast("string").isin(*vocab.INTENTS)
-    return _present([_error(~listed, path, "not_in_vocabulary")])
+_errors_of = contract.document("inquiries", _inquiry_contract())
 
 
-def _inquiry_errors(item: Column, index: Column) -> Column:
-    path = F.concat(F.lit("inquiries."), index.cast("string"))
-    required = (*_NULLABLE_REQUIRED, "availability", "intents", "rates", "questions", "summary")
-
-    def checks(fields: Column) -> Column:
-        flat = _object_errors(fields, path, _INQUIRY_KEYS, required)
-        for key in (*_NULLABLE_REQUIRED, *_NULLABLE_OPTIONAL):
-            flat += _text_error(fields, path, key, nullable=True)
-        flat += _text_error(fields, path, "summary")
-        flat += _enum_error(fields, path, "availability", vocab.EXTRACTED_AVAILABILITY)
-        flat.append(
-            _error(F.size(_items(_get(fields, "intents"))) == 0, _at(path, "intents"), "empty")
-        )
-        return F.concat(
-            _present(flat),
-            *[_evidence_errors(fields, path, key) for key in _INQUIRY_EVIDENCE],
-            *_list_errors(fields, path, "intents", _intent_errors),
-            *_list_errors(fields, path, "rates", _rate_errors),
-            *_list_errors(fields, path, "questions", _question_errors),
-        )
-
-    return _let(_fields(item), checks)
+def _errors_of_batch(documents: pa.Array) -> pa.Array:
+    return pa.array(map(_errors_of, documents.to_pylist()), pa.list_(pa.string()))
 
 
 def check_extractions(raw: DataFrame, column: str = "raw_json") -> DataFrame:
-    """Add ``errors`` (``path: kind``; the first ten) and ``validation_status``."""
-    text = strip_nul(F.col(column))
-    document = F.try_parse_json(text)
-    with_document = raw.withColumn(column, text).withColumn("_doc", document)
-    fields = _fields(F.col("_doc"))
-    items = _items(_get(fields, "inquiries"))
-    root = F.lit("$")
-    top = _present([
-        _error(F.col("_doc").isNull(), root, "malformed"),
-        F.when(F.col("_doc").isNotNull(), _error(fields.isNull(), root, "not_an_object")),
-        _error(
-            F.size(F.array_except(F.map_keys(fields), F.array(F.lit("inquiries")))) > 0,
-            root, "unknown_key",
-        ),
-        _error(~F.map_contains_key(fields, "inquiries"), F.lit("inquiries"), "missing"),
-        _error(
-            F.map_contains_key(fields, "inquiries") & items.isNull(),
-            F.lit("inquiries"), "not_a_list",
-        ),
-        _error(F.size(items) == 0, F.lit("inquiries"), "empty"),
-    ])
-    per_item = F.flatten(F.transform(items, _inquiry_errors))
-    errors = F.concat(top, F.coalesce(per_item, F.array().cast("array<string>")))
-    return (
-        with_document.withColumn("errors", F.slice(errors, 1, 10))
-        .withColumn(
-            "validation_status", F.when(F.size("errors") == 0, "valid").otherwise("invalid")
-        )
-        .drop("_doc")
+    """Add ``errors`` (``path: kind``; the first ten) and ``validation_status``.
+
+    A NULL or empty document is malformed; repeated rows are checked each for itself.
+    """
+    errors = F.arrow_udf(_errors_of_batch, "array<string>")
+    checked = raw.withColumn(column, strip_nul(F.col(column)))
+    return checked.withColumn("errors", errors(F.col(column))).withColumn(
+        "validation_status", F.when(F.size("errors") == 0, "valid").otherwise("invalid")
     )
 
 
