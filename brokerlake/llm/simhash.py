@@ -1,12 +1,14 @@
 """SimHash near-duplicates: fingerprints linked within a Hamming radius, found by BK-trees.
 
 Distinct fingerprints are dealt into shards such that two within the radius of 4 surely meet: of
-six blocks of the 64 bits at least two agree, so every pair of blocks and their values is a shard.
-Each shard is searched by a BK-tree: children hang on their parent by their integer Hamming
-distance to it, and a query follows only the edges within the radius of its own distance.
+4 + k blocks of the 64 bits at least k agree, so k blocks and the values of some of their bits are
+a shard. How many bits name it follows from the number of fingerprints, so that a shard holds some
+``TREE`` of them at any size of the corpus; k grows only where k blocks have not enough bits. Each
+shard is searched by a BK-tree: children hang on their parent by their integer Hamming distance to
+it, and a query follows only the edges within the radius of its own distance.
 
 The trees grow with the corpus, so they are not broadcast: a shard's fingerprints and its queries
-are the same rows and meet by one shuffle of 15 rows of 20 bytes a fingerprint. Shards that a
+are the same rows and meet by one shuffle of 5 to 35 rows of 20 bytes a fingerprint. Shards that a
 1/64 sample shows to be large are cut into chunks, and each pair of chunks is a task of its own.
 A shard hands on only links that join two parts of it, fewer than it has fingerprints.
 """
@@ -27,8 +29,9 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of a shard that one BK-tree holds; larger shards are cut into such chunks.
 CHUNK = 4096
+#: Fingerprints that a shard is meant to hold, if bits were even.
+TREE = 512
 _SAMPLE = 64
-_ALL = (1 << 64) - 1
 
 
 def fingerprint(text: str, words_each: int = SHINGLE) -> int:
@@ -192,12 +195,29 @@ def _search(radius: int):
     return search
 
 
+def shard_masks(count: int, radius: int) -> list[int]:
+    """Masks of which two codes within ``radius`` agree on at least one, for ``count`` codes.
+
+    Codes that agree on a mask are some ``TREE`` in number, as far as 64 bits allow.
+    """
+    bits = max(0, (-(-count // TREE) - 1).bit_length())
+    agreeing = next(k for k in range(1, 65) if k * (64 // (radius + k)) >= bits or k == 4)
+    blocks = radius + agreeing
+    width = 64 // blocks
+    each, more = divmod(min(bits, agreeing * width), agreeing)
+    masks = {
+        sum(((1 << each + (n < more)) - 1) << 64 * block // blocks for n, block in enumerate(chosen))
+        for chosen in combinations(range(blocks), agreeing)
+    }
+    return sorted(masks)
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect all distinct ``fp`` of ``prints`` within the radius of others."""
-    blocks = radius + 2
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [((1 << edges[k + 1]) - (1 << edges[k])) & _ALL for k in range(blocks)]
-    masks = [parts[i] | parts[j] for i, j in combinations(range(blocks), 2)]
+    """Links (a, b) that connect all distinct ``fp`` of ``prints`` within the radius of others.
+
+    ``prints`` is read twice, once to count it.
+    """
+    masks = shard_masks(prints.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     shards = F.explode(F.array(*(
         F.struct(F.lit(k).cast("short").alias("shard"), F.col("fp").bitwiseAND(m).alias("bits"))

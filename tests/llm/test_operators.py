@@ -265,6 +265,81 @@ def test_bk_tree_follows_only_the_radius():
         assert hits == [i for i, c in enumerate(codes) if (c ^ code).bit_count() <= 4]
 
 
+def near_codes(seed, count, groups):
+    """Random 64-bit codes, and chains of codes that differ by one to four bits from the one before."""
+    rng = np.random.default_rng(seed)
+    codes = {int(c) for c in rng.integers(0, 1 << 64, count, np.uint64)}
+    for code in list(codes)[:groups]:
+        for _ in range(3):
+            for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+                code ^= 1 << int(bit)
+            codes.add(code)
+    return sorted(codes)
+
+
+@pytest.mark.parametrize("count", [0, 1, 512, 513, 10**4, 10**6, 10**8, 10**10, 10**14])
+@pytest.mark.parametrize("radius", [0, 1, 4, 7])
+def test_codes_within_the_radius_share_a_mask(count, radius):
+    masks = simhash.shard_masks(count, radius)
+    rng = np.random.default_rng(count % 1000)
+    for _ in range(300):
+        change = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+        assert any(mask & change == 0 for mask in masks)
+    if count <= 10**10 and radius == 4:
+        assert {mask.bit_count() for mask in masks} == {max(0, (-(-count // simhash.TREE) - 1).bit_length())}
+
+
+def test_trees_hold_hundreds_of_codes_and_skip_most_of_the_rest():
+    class Counted(list):
+        seen = 0
+
+        def __getitem__(self, at):
+            Counted.seen += 1
+            return super().__getitem__(at)
+
+    codes = near_codes(3, 20_000, 2_000)
+    masks = simhash.shard_masks(len(codes), 4)
+    assert len(masks) == 5
+    compared, links, sizes = 0, set(), []
+    for mask in masks:
+        shards = {}
+        for code in codes:
+            shards.setdefault(code & mask, []).append(code)
+        for shard in shards.values():
+            tree = simhash.BKTree()
+            for code in shard:
+                tree.add(code)
+            tree.codes = Counted(tree.codes)
+            sizes.append(len(shard))
+            for code in shard[::20]:
+                links.update((code, shard[hit]) for hit in tree.within(code, 4) if shard[hit] != code)
+                compared += len(shard)
+    assert min(sizes) > 200 and Counted.seen < 0.5 * compared
+    assert len(links) > 200 and all((a ^ b).bit_count() <= 4 for a, b in links)
+
+
+def test_simhash_links_of_many_codes(spark, monkeypatch):
+    codes = near_codes(7, 3_000, 400)
+    codes += [code for code in near_codes(8, 300, 300) if code not in codes]
+    want = components(len(codes), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 4)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    frame = spark.createDataFrame([(c,) for c in signed], "fp long")
+    for chunk in (simhash.CHUNK, 256):  # the second cuts every shard into chunks
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        place = {c: k for k, c in enumerate(signed)}
+        parent = list(range(len(codes)))
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in simhash.near_links(frame).collect():
+            assert (a ^ b) % 2**64 and ((a ^ b) % 2**64).bit_count() <= 4
+            parent[max(root(place[a]), root(place[b]))] = min(root(place[a]), root(place[b]))
+        assert [root(k) for k in range(len(codes))] == want, chunk
+
+
 def test_mix_rows_and_targets(spark, odd, empty):
     docs = read(spark, "documents")
     rows = mixing.mix(docs).collect()
