@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brokerlake import vocab
@@ -129,6 +129,63 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+# --- fixed values: further references between tables, as "table.column target[.column]" ---
+_REFERENCES = """
+import_batch.snapshot_id dataset_snapshot
+equipment_alias.equipment_code equipment_type.code
+load.snapshot_id dataset_snapshot
+load.equipment_code equipment_type.code
+carrier.snapshot_id dataset_snapshot
+carrier_equipment.carrier_id carrier
+carrier_equipment.equipment_code equipment_type.code
+carrier_preferred_lane.carrier_id carrier
+market_rate_history.snapshot_id dataset_snapshot
+market_rate_history.equipment_code equipment_type.code
+communication_event.snapshot_id dataset_snapshot
+email_content.event_id communication_event
+call_recording.event_id communication_event
+ingestion_job.snapshot_id dataset_snapshot
+transcript.recording_id call_recording
+transcript.operation_id ai_operation
+extraction_run.event_id communication_event
+extraction_run.job_id ingestion_job
+extraction_run.transcript_id transcript
+extraction_run.operation_id ai_operation
+inquiry.event_id communication_event
+inquiry.equipment_code equipment_type.code
+inquiry_intent.inquiry_id inquiry
+inquiry_question.inquiry_id inquiry
+evidence_span.event_id communication_event
+inquiry_field_assessment.inquiry_id inquiry
+inquiry_carrier_match.inquiry_id inquiry
+inquiry_carrier_match.carrier_id carrier
+inquiry_load_match.inquiry_id inquiry
+inquiry_load_match.load_id load
+inquiry_review_reason.inquiry_id inquiry
+inquiry_review_action.inquiry_id inquiry
+carrier_load_candidate.carrier_id carrier
+carrier_load_candidate.load_id load
+candidate_inquiry.candidate_id carrier_load_candidate
+candidate_inquiry.inquiry_id inquiry
+compliance_assessment.candidate_id carrier_load_candidate
+eligibility_assessment.candidate_id carrier_load_candidate
+ai_provider_call.operation_id ai_operation
+evaluation_case_result.run_id evaluation_run
+evaluation_case_result.operation_id ai_operation
+evaluation_score.case_result_id evaluation_case_result
+"""
+
+
+def _declared(line: str) -> Rule:
+    source, target = line.split()
+    table, column = source.split(".")
+    target, _, target_column = target.partition(".")
+    return reference(table, column, target, target_column or None)
+
+
+REFERENCES: tuple[Rule, ...] = tuple(map(_declared, _REFERENCES.split("\n")[1:-1]))
+
+
 def rule_violations(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     """Rows (or keys) that break one rule."""
     df = tables[rule.table]
@@ -144,33 +201,70 @@ def rule_violations(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     return df.where(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 
+def covered_by(tables: dict[str, DataFrame], rules: tuple[Rule, ...]) -> list[Rule]:
+    """The rules whose tables are given."""
+    return [r for r in rules if r.table in tables and (r.target is None or r.target in tables)]
+
+
+def _key(columns: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether a row has the key, and the key as texts."""
+    given = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    return given, F.array(*[F.col(c).cast("string") for c in columns])
+
+
+def _fact(number: int, when: Column, key: Column, counted: int) -> Column:
+    fact = F.struct(
+        F.lit(number).alias("rule"), key.alias("key"), F.lit(counted).cast("long").alias("n"),
+        F.lit(counted == 0).alias("known"),
+    )
+    return F.when(when, fact)
+
+
+def _facts(table: str, usable: list[Rule]) -> list[Column]:
+    """What one row of ``table`` says to each rule, NULL where it says nothing."""
+    facts = []
+    for number, rule in enumerate(usable):
+        if rule.table == table and rule.kind == "check":
+            # as in SQL, an unknown outcome passes
+            broken = ~F.coalesce(F.expr(rule.condition), F.lit(True))
+            facts.append(_fact(number, broken, F.lit(None).cast("array<string>"), 1))
+        elif rule.table == table:
+            given, key = _key(rule.columns[:1] if rule.kind == "reference" else rule.columns)
+            applies = F.lit(True) if rule.condition is None else F.expr(rule.condition)
+            facts.append(_fact(number, given & applies, key, 1))
+        if rule.target == table:
+            given, key = _key(rule.columns[1:])
+            facts.append(_fact(number, given, key, 0))
+    return facts
+
+
 def violations(tables: dict[str, DataFrame], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Violation count of every rule whose table (and target) is given.
 
-    Checks of one table share one scan; each key rule is one grouped count or anti join.
+    Each table is read once, for all rules on it and all references to it: a row states its key to
+    each, and one grouping by (rule, key) counts the rows and tells whether the key is known at the
+    target. Rows of one key are added up before the exchange, so a hot key is a few rows there. A
+    broken check counts rows, a unique rule counts keys, a reference counts rows whose key is
+    nowhere. Rows with a NULL in the key state nothing; empty tables break no rule. Keys are
+    compared as texts, so both ends of a reference must be of kinds that print alike.
     """
-    usable = [
-        r for r in rules if r.table in tables and (r.target is None or r.target in tables)
+    usable = covered_by(tables, rules)
+    named = ((name, _facts(name, usable)) for name in sorted(tables))
+    stated = [
+        tables[name].select(F.inline(F.array_compact(F.array(*facts)))) for name, facts in named if facts
     ]
-    parts: list[DataFrame] = []
-    checks: dict[str, list[Rule]] = {}
-    for rule in usable:
-        if rule.kind == "check":
-            checks.setdefault(rule.table, []).append(rule)
-            continue
-        parts.append(
-            rule_violations(rule, tables).agg(F.count("*").alias("violations")).select(
-                F.lit(rule.table).alias("table_name"), F.lit(rule.name).alias("rule"),
-                "violations",
-            )
-        )
-    for table, group in checks.items():
-        counts = tables[table].agg(*[
-            F.count_if(~F.coalesce(F.expr(r.condition), F.lit(True))).alias(r.name) for r in group
-        ])
-        pairs = F.array(*[
-            F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("violations"))
-            for r in group
-        ])
-        parts.append(counts.select(F.lit(table).alias("table_name"), F.inline(pairs)))
-    return reduce(DataFrame.unionByName, parts)
+    listed = next(iter(tables.values())).sparkSession.createDataFrame(
+        [(number, r.table, r.name) for number, r in enumerate(usable)],
+        "rule int, table_name string, name string",
+    )
+    if not stated:
+        return listed.select("table_name", F.col("name").alias("rule"), F.lit(0).cast("long").alias("violations"))
+    by_key = reduce(DataFrame.unionByName, stated).groupBy("rule", "key").agg(
+        F.sum("n").alias("n"), F.max("known").alias("known")
+    )
+    keyed = [number for number, r in enumerate(usable) if r.kind == "unique"]
+    broken = F.when(F.col("rule").isin(keyed), (F.col("n") > 1).cast("long")).when(~F.col("known"), F.col("n"))
+    counts = by_key.groupBy("rule").agg(F.sum(broken).alias("violations"))
+    return listed.join(counts, "rule", "left").select(
+        "table_name", F.col("name").alias("rule"), F.coalesce("violations", F.lit(0)).alias("violations")
+    )

@@ -402,3 +402,32 @@ def dq_constraints(t: Tables) -> DataFrame:
         "transcript_segment": t.segments, "inquiry": t.inquiries, "carrier_quote": t.quotes,
         "ai_provider_call": t.provider_calls, "assistant_message": t.messages,
     })
+
+
+# (table, column): its role, the target's role and column
+_REFERENCES = {
+    ("ai_provider_call", "operation_id"): ("provider_calls", "ai_operations", "operation_id"),
+    ("extraction_run", "event_id"): ("extractions", "emails", "event_id"),
+    ("inquiry", "event_id"): ("inquiries", "emails", "event_id"),
+    ("inquiry_review_action", "inquiry_id"): ("review_actions", "inquiries", "inquiry_id"),
+    ("inquiry_load_match", "load_id"): ("review_inquiries", "loads", "load_id"),
+    ("inquiry_load_match", "inquiry_id"): ("review_inquiries", "inquiries", "inquiry_id"),
+    ("inquiry_carrier_match", "carrier_id"): ("review_inquiries", "carriers", "carrier_id"),
+    ("inquiry_carrier_match", "inquiry_id"): ("review_inquiries", "inquiries", "inquiry_id"),
+}
+
+
+@query("dq_references", "\nUNION ALL\n".join(
+    f"SELECT '{table}' AS table_name, '{table}_{column}_fk' AS rule, (SELECT count(*) FROM {role} s"
+    f" WHERE s.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {target} k"
+    f" WHERE k.{key} = s.{column})) AS violations"
+    for (table, column), (role, target, key) in _REFERENCES.items()
+), ("provider_calls", "ai_operations", "extractions", "emails", "inquiries", "review_actions",
+    "review_inquiries", "loads", "carriers"))
+def dq_references(t: Tables) -> DataFrame:
+    return dq.violations({
+        "ai_provider_call": t.provider_calls, "ai_operation": t.operations,
+        "extraction_run": t.extractions, "communication_event": t.emails, "inquiry": t.inquiries,
+        "inquiry_review_action": t.review_actions, "inquiry_load_match": t.review_inquiries,
+        "inquiry_carrier_match": t.review_inquiries, "load": t.loads, "carrier": t.carriers,
+    }, tuple(r for r in dq.REFERENCES if (r.table, r.columns[0]) in _REFERENCES))
