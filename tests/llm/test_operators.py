@@ -151,6 +151,48 @@ def test_embeddings_brute_force(spark):
         assert got[r.vec_id].n_links == near[i].sum() - 1
 
 
+def at_cosine(rng, unit, cosine):
+    """A unit vector at the given cosine to ``unit``."""
+    other = rng.normal(size=len(unit))
+    other -= other @ unit * unit
+    return cosine * unit + (1 - cosine**2) ** 0.5 * other / np.linalg.norm(other)
+
+
+@pytest.mark.parametrize("dimensions", [16, 96])
+def test_embeddings_find_planted_pairs(spark, dimensions):
+    rng = np.random.default_rng(dimensions)
+    seeds = embeddings.units(rng.normal(size=(400, dimensions)))
+    planted = rng.uniform(0.901, 0.95, 400)
+    partners = [at_cosine(rng, u, c) for u, c in zip(seeds, planted)]
+    beside = [at_cosine(rng, u, 0.899) for u in seeds[:100]]  # just below: no link
+    unit = np.array([*seeds, *partners, *beside])
+    near = unit @ unit.T >= 0.9
+    scale = rng.uniform(0.1, 10, len(unit))
+    vectors = spark.createDataFrame(
+        [(k, (v * f).tolist()) for k, (v, f) in enumerate(zip(unit, scale))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(vectors).collect()}
+    want = components(len(unit), lambda i, j: near[i, j])
+    alone = near.sum(1) == 1
+    assert all(got[k].n_links == 0 and got[k].component_id == k for k in np.flatnonzero(alone))
+    assert all(want[got[k].component_id] == want[k] for k in got)  # no link below 0.9
+    assert np.mean([got[k].component_id == want[k] for k in np.flatnonzero(~alone)]) >= 0.95
+
+
+def test_embeddings_of_a_group_beyond_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    seed = embeddings.units(rng.normal(size=(1, 32)))[0]
+    unit = np.array([at_cosine(rng, seed, c) for c in rng.uniform(0.97, 0.999, 400)])
+    unit = np.concatenate([unit, embeddings.units(rng.normal(size=(100, 32)))])
+    near = unit @ unit.T >= 0.9
+    want = components(len(unit), lambda i, j: near[i, j])
+    vectors = spark.createDataFrame(
+        [(k, v.tolist()) for k, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(vectors).collect()}
+    assert [got[k].component_id for k in range(len(unit))] == want
+    assert [got[k].n_links for k in range(len(unit))] == (near.sum(1) - 1).tolist()
+
+
 def test_embeddings_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]),
             (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.1]), (8, [])]
