@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brokerlake import vocab
 from brokerlake.operators import rates
-from brokerlake.scale import nulls_last_key, positions
+from brokerlake.scale import at_hand, nulls_last_key, positions
 
 CANDIDATE = ["load_id", "carrier_id"]
 
@@ -25,30 +25,37 @@ def seen_at() -> Column:
 # -- latest explicit value -----------------------------------------------------------------
 
 
-def latest_explicit_aggs(name: str, value: Column, time: Column, counted: Column) -> list[Column]:
-    """Partial aggregates from which ``latest_explicit_result`` decides value and conflict.
+def latest_explicit_aggs(
+    name: str, value: Column, time: Column, counted: Column, high: Column | None = None
+) -> dict[str, Column]:
+    """Partial aggregates, by name, from which ``latest_explicit_result`` decides value and conflict.
 
     Minima and maxima only: they combine map-side, need no group in one place, and a row that
-    appears twice does not matter.
+    appears twice does not matter. A row that stands for several values has their lowest in
+    ``value`` and their highest in ``high``.
     """
-    kept = F.when(counted, value)
+    high = value if high is None else high
     dated = counted & time.isNotNull()
     newest_first = F.struct((-F.unix_micros(time)).alias("age"), value.alias("v"))
-    newest_last = F.struct(F.unix_micros(time).alias("age"), value.alias("v"))
-    return [
-        F.min(kept).alias(f"_{name}_lo"),
-        F.max(kept).alias(f"_{name}_hi"),
-        F.coalesce(F.bool_or(counted & time.isNull()), F.lit(False)).alias(f"_{name}_undated"),
-        F.min(F.when(dated, newest_first)).alias(f"_{name}_last_lo"),
-        F.max(F.when(dated, newest_last)).alias(f"_{name}_last_hi"),
-    ]
+    newest_last = F.struct(F.unix_micros(time).alias("age"), high.alias("v"))
+    return {
+        f"_{name}_lo": F.min(F.when(counted, value)),
+        f"_{name}_hi": F.max(F.when(counted, high)),
+        f"_{name}_undated": F.bool_or(counted & time.isNull()),
+        f"_{name}_last_lo": F.min(F.when(dated, newest_first)),
+        f"_{name}_last_hi": F.max(F.when(dated, newest_last)),
+    }
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def latest_explicit_result(name: str) -> tuple[Column, Column]:
     low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
     last_low, last_high = F.col(f"_{name}_last_lo.v"), F.col(f"_{name}_last_hi.v")
     conflict = F.when(low.isNull() | (low == high), F.lit(False)).otherwise(
-        F.col(f"_{name}_undated") | (last_low != last_high)
+        F.coalesce(F.col(f"_{name}_undated"), F.lit(False)) | (last_low != last_high)
     )
     value = F.when(low == high, low).when(low.isNotNull() & ~conflict, last_high)
     return value, conflict
@@ -58,7 +65,7 @@ def latest_explicit(df: DataFrame, keys: list[str], time: str, value: str) -> Da
     """Conflict-aware latest value per key; a contradiction without chronology stays open."""
     counted = F.col(value).isNotNull()
     grouped = df.groupBy(*keys).agg(
-        *latest_explicit_aggs("x", F.col(value), F.col(time), counted)
+        *named(latest_explicit_aggs("x", F.col(value), F.col(time), counted))
     )
     result, conflict = latest_explicit_result("x")
     return grouped.select(*keys, result.alias(value), conflict.alias("conflict"))
@@ -84,44 +91,76 @@ def candidate_links(inquiries: DataFrame) -> DataFrame:
     )
 
 
-def current_facts(inquiries: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Current identity, availability, equipment and quote of every candidate.
+QUOTE = ["quote_id", "amount", "currency", "quote_type", "rate_basis"]
 
-    One join and one grouped aggregate for all four; a rejected inquiry keeps its candidate
-    but contributes nothing.
-    """
-    usable = quotes.where(
+
+def usable_quote() -> Column:
+    return (
         F.col("is_current")
         & (F.col("evidence_status") == "explicit")
         & F.col("quote_type").isin(*vocab.CARRIER_ROLES)
-    ).select(
-        "inquiry_id",
-        F.struct(
-            "quote_id", "amount", "currency", "quote_type", "rate_basis", "evidence_status"
-        ).alias("quote"),
-    )
-    rows = inquiries.where("carrier_id IS NOT NULL AND load_id IS NOT NULL").join(
-        usable, "inquiry_id", "left"
     )
+
+
+def stated_facts() -> list[Column]:
+    """What the facts need of an inquiry, as narrow as can be: these columns are shuffled. A
+    rejected inquiry keeps its candidate but contributes nothing."""
     live = F.col("review_status") != "rejected"
-    time = F.col("occurred_at")
     said = F.col("availability_status")
-    truck = F.col("equipment_code")
     both = (F.col("carrier_resolution_status") == "verified") & (
         F.col("load_resolution_status") == "verified"
     )
-    grouped = rows.groupBy(*CANDIDATE).agg(
-        F.bool_or(live & both).alias("identity_verified"),
-        *latest_explicit_aggs("availability", said, time, live & (said != "not_stated")),
-        *latest_explicit_aggs("equipment", truck, time, live & truck.isNotNull()),
+    return [
+        F.col("occurred_at"), live.alias("_live"), (live & both).alias("_verified"),
+        F.when(live & (said != "not_stated"), said).alias("_said"),
+        F.when(live, F.col("equipment_code")).alias("_truck"),
+    ]
+
+
+def fact_aggs(quote: Column, high: Column, quoted: Column) -> dict[str, Column]:
+    """Aggregates of a candidate's rows of ``stated_facts`` and their quotes where ``quoted``."""
+    time, said, truck = F.col("occurred_at"), F.col("_said"), F.col("_truck")
+    return {
+        "identity_verified": F.bool_or("_verified"),
+        **latest_explicit_aggs("availability", said, time, said.isNotNull()),
+        **latest_explicit_aggs("equipment", truck, time, truck.isNotNull()),
         # the quote struct starts with its id, so comparing structs compares ids
-        *latest_explicit_aggs("quote", F.col("quote"), time, live & F.col("quote").isNotNull()),
-    )
-    out = [candidate_id().alias("candidate_id"), *CANDIDATE, "identity_verified"]
+        **latest_explicit_aggs("quote", quote, time, F.col("_live") & quoted, high),
+    }
+
+
+def fact_results() -> list[Column]:
+    out = []
     for name in ("availability", "equipment", "quote"):
         value, conflict = latest_explicit_result(name)
         out += [value.alias(f"current_{name}"), conflict.alias(f"{name}_conflict")]
-    return grouped.select(*out)
+    return out
+
+
+def quoted_inquiries(inquiries: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Every linked inquiry beside each of its quotes that count."""
+    heard = F.coalesce("occurred_at", "received_at", "created_at")
+    linked = inquiries.where("carrier_id IS NOT NULL AND load_id IS NOT NULL").select(
+        "inquiry_id", *CANDIDATE, *stated_facts(),
+        *([heard.alias("_heard")] if "created_at" in inquiries.columns else []),
+    )
+    return linked.join(quotes.where(usable_quote()).select("inquiry_id", *QUOTE), "inquiry_id", "left")
+
+
+def _quote_aggs() -> dict[str, Column]:
+    quote = F.struct(*QUOTE, F.lit("explicit").alias("evidence_status"))
+    return fact_aggs(quote, quote, F.col("quote_id").isNotNull())
+
+
+def current_facts(inquiries: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Current identity, availability, equipment and quote of every candidate.
+
+    One join and one grouped aggregate for all four.
+    """
+    grouped = quoted_inquiries(inquiries, quotes).groupBy(*CANDIDATE).agg(*named(_quote_aggs()))
+    return grouped.select(
+        candidate_id().alias("candidate_id"), *CANDIDATE, "identity_verified", *fact_results()
+    )
 
 
 # -- policy ----------------------------------------------------------------------------------
@@ -178,12 +217,40 @@ _LOAD_FACTS = ["load_id", "pickup_date", "distance_miles", "equipment_code AS lo
 
 
 def eligibility(facts: DataFrame, carriers: DataFrame, loads: DataFrame) -> DataFrame:
-    """Component results and the final status, in order of precedence."""
-    rows = policy_compliance(
+    """Component results and the final status of each candidate's facts."""
+    return decided(
         facts.join(carriers.select(*_CARRIER_FACTS), "carrier_id").join(
             loads.selectExpr(*_LOAD_FACTS), "load_id"
         )
     )
+
+
+def assess(
+    inquiries: DataFrame, quotes: DataFrame, carriers: DataFrame, loads: DataFrame
+) -> DataFrame:
+    """``eligibility`` of ``current_facts``, and the inquiry each candidate was last heard in.
+
+    Rows meet their load before they are grouped. They are narrow there, and one shuffle by load
+    serves that join, the grouping and all that follows by load; where a load is hot the join
+    splits it. Ties for the last inquiry go to the highest id.
+    """
+    load_facts = loads.selectExpr(*_LOAD_FACTS)
+    keys = [*CANDIDATE, *[c for c in load_facts.columns if c != "load_id"]]
+    grouped = quoted_inquiries(inquiries, quotes).join(load_facts, "load_id").groupBy(*keys).agg(
+        *named(_quote_aggs()),
+        F.max(F.struct("_heard", "inquiry_id")).getField("inquiry_id").alias("latest_inquiry_id"),
+    )
+    facts = grouped.select(
+        candidate_id().alias("candidate_id"), *keys, "identity_verified", *fact_results(),
+        "latest_inquiry_id",
+    )
+    return decided(facts.join(at_hand(carriers.select(*_CARRIER_FACTS)), "carrier_id"))
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """Component results and the final status, in order of precedence, on rows that carry the
+    current facts and what is known of carrier and load."""
+    rows = policy_compliance(rows)
     truck, wanted = F.col("current_equipment"), F.col("load_equipment")
     said = F.col("current_availability")
     rows = (
@@ -329,13 +396,14 @@ _RANKED = [
 ]
 
 
-def strongest_candidates(priced: DataFrame) -> DataFrame:
-    """Eligible candidates of each load, strongest first."""
+def strongest_candidates(priced: DataFrame, inquiries: DataFrame | None = None) -> DataFrame:
+    """Eligible candidates of each load, strongest first. Given the inquiries that they come from,
+    large loads are found by counting those."""
     eligible = priced.where("final_status = 'eligible'").select(*_RANKED)
-    return positions(eligible, ["load_id"], _strength())
+    return positions(eligible, ["load_id"], _strength(), bound=inquiries)
 
 
-def workspace_candidates(priced: DataFrame, latest: DataFrame) -> DataFrame:
+def workspace_candidates(priced: DataFrame, inquiries: DataFrame | None = None) -> DataFrame:
     """All candidates of each load: actionable statuses first, eligible ones by strength."""
     ranks = F.create_map(
         *[F.lit(x) for pair in vocab.CANDIDATE_STATUS_RANK.items() for x in pair]
@@ -357,25 +425,13 @@ def workspace_candidates(priced: DataFrame, latest: DataFrame) -> DataFrame:
     ]
     rank = F.coalesce(F.try_element_at(ranks, F.col("final_status")), F.lit(5))
     rows = priced.select(
-        *_RANKED, rank.alias("status_rank"), open_reasons().alias("open_reasons")
-    ).join(latest, "candidate_id", "left")
+        *_RANKED, rank.alias("status_rank"), open_reasons().alias("open_reasons"), "latest_inquiry_id"
+    )
     order = [
         F.col("status_rank").asc(), *strength, F.col("quote_id").isNull().asc(),
         F.col("carrier_id").asc(),
     ]
-    return positions(rows, ["load_id"], order)
-
-
-def latest_inquiry(inquiries: DataFrame) -> DataFrame:
-    """The inquiry each candidate was last heard in; ties go to the highest id."""
-    when = F.coalesce("occurred_at", "received_at", "created_at")
-    return (
-        inquiries.where("carrier_id IS NOT NULL AND load_id IS NOT NULL")
-        .groupBy(*CANDIDATE)
-        .agg(F.max(F.struct(when.alias("at"), F.col("inquiry_id"))).alias("last"))
-        .select(candidate_id().alias("candidate_id"),
-                F.col("last.inquiry_id").alias("latest_inquiry_id"))
-    )
+    return positions(rows, ["load_id"], order, bound=inquiries)
 
 
 # -- assessment history --------------------------------------------------------------------------

@@ -29,7 +29,11 @@ def facts(t: Tables) -> DataFrame:
 
 
 def assessed(t: Tables) -> DataFrame:
-    return cand.eligibility(facts(t), t.carriers, t.loads)
+    return cand.assess(t.inquiries, t.quotes, t.carriers, t.loads)
+
+
+def linked(t: Tables) -> DataFrame:
+    return t.inquiries.where("load_id IS NOT NULL AND carrier_id IS NOT NULL")
 
 
 def priced(t: Tables) -> DataFrame:
@@ -208,7 +212,7 @@ SELECT load_id, carrier_id, all_in AS all_in_cents,
   row_number() OVER (PARTITION BY load_id ORDER BY {_STRENGTH}) AS position
 FROM priced WHERE final_status = 'eligible'""", _FACT_ROLES)
 def strongest_candidates(t: Tables) -> DataFrame:
-    return cand.strongest_candidates(priced(t)).select(
+    return cand.strongest_candidates(priced(t), linked(t)).select(
         "load_id", "carrier_id", as_cents(F.col("all_in")).alias("all_in_cents"), "position"
     )
 
@@ -229,7 +233,7 @@ SELECT p.load_id, p.carrier_id, p.final_status, coalesce(s.open_reasons, '') AS
 FROM priced p LEFT JOIN strong t USING (candidate_id) LEFT JOIN shown s USING (candidate_id)
 LEFT JOIN last_heard h ON h.candidate_id = p.candidate_id AND h.r = 1""", _FACT_ROLES)
 def workspace_candidates(t: Tables) -> DataFrame:
-    rows = cand.workspace_candidates(priced(t), cand.latest_inquiry(t.inquiries))
+    rows = cand.workspace_candidates(priced(t), linked(t))
     return rows.select(
         "load_id", "carrier_id", "final_status", joined("open_reasons").alias("open_reasons"),
         "latest_inquiry_id", "position",

@@ -157,3 +157,24 @@ def test_a_cluster_needs_a_shared_folder():
         assert scale.shared_root(Session(master, spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
     for master in ("local", "local[8]", "local[*]", "local[2,3]"):
         assert "brokerlake-" in scale.shared_root(Session(master))
+
+
+def test_positions_rank_hot_keys_over_ranges_and_others_where_they_are(spark, monkeypatch):
+    _uncoalesced(spark)
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+        .alias("key"),
+        (F.col("id") * 7919 % 104729).alias("score"), "id",
+    )
+    order = [F.col("score").desc(), F.col("id").asc()]
+    expected = rows.selectExpr(
+        "*", "cast(row_number() over (partition by key order by score desc, id) as bigint) as position"
+    )
+    dealt = rows.repartition("key")
+    plain = scale.positions(dealt, ["key"], order)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+    monkeypatch.setattr(scale, "HOT", 1_000)
+    for got in (plain, scale.positions(rows, ["key"], order),
+                scale.positions(rows, ["key"], order, bound=rows.unionByName(rows))):
+        assert got.count() == 9_000 and got.exceptAll(expected).count() == 0
