@@ -9,6 +9,7 @@ from brokerlake import vocab
 from brokerlake.functions import money
 from brokerlake.functions.text import icontains
 from brokerlake.operators import candidates as cand
+from brokerlake.scale import at_hand
 
 
 def event_when() -> list[Column]:
@@ -367,47 +368,95 @@ def inquiry_detail(
 
 
 def draft_context(
-    inquiries: DataFrame, loads: DataFrame, carriers: DataFrame, contacts: DataFrame,
-    quotes: DataFrame, assessed: DataFrame, context: DataFrame,
+    inquiries: DataFrame, carriers: DataFrame, contacts: DataFrame, quotes: DataFrame,
+    context: DataFrame,
 ) -> DataFrame:
-    """The facts handed to a draft, one struct per topic; internal notes are left out."""
-    current = quotes.where("is_current").groupBy("inquiry_id").agg(
-        F.min(F.struct("quote_id", "amount", "rate_basis", "quote_type")).alias("quote")
-    )
-    primary = contacts.where("is_primary").groupBy("carrier_id").agg(
-        F.min("name").alias("contact_name")
+    """The facts handed to a draft, one struct per topic; internal notes are left out.
+
+    ``context`` holds the loads with their market. Inquiries meet their quotes by inquiry, then are
+    dealt once by load; windows over the candidate give each inquiry the facts that
+    ``candidates.assess`` gives the candidate, so assessments are neither made nor joined apart.
+    """
+    counted = F.struct(*cand.QUOTE)
+    low, high = F.col("_low"), F.col("_high")
+    summed = (
+        quotes.where("is_current")
+        .select(
+            "inquiry_id", *cand.QUOTE, F.coalesce(cand.usable_quote(), F.lit(False)).alias("_usable")
+        )
+        .repartition("inquiry_id")  # each quote is sent once, not as three partial results
+        .groupBy("inquiry_id").agg(
+            F.min(counted).alias("_first"), F.min(F.when(F.col("_usable"), counted)).alias("_low"),
+            F.max(F.when(F.col("_usable"), counted)).alias("_high"),
+        )
+        .select(
+            "inquiry_id", low.isNotNull().alias("_usable"),
+            # mostly one quote is all three
+            F.when(low != F.col("_first"), low).alias("_low"), F.when(high != low, high).alias("_high"),
+            "_first.*",
+        )
     )
     load_part = context.select(
-        "load_id", "band_position",
+        F.col("load_id").alias("_load"), "band_position",
         F.struct(
             "load_id", "origin_state", "destination_state",
             F.coalesce("equipment_raw", "equipment_code").alias("equipment"), "pickup_date",
             "weight_lbs", "offered_rate_usd", "distance_miles",
         ).alias("load"),
+        F.col("equipment_code").alias("load_equipment"),
     )
-    carrier_part = carriers.join(primary, "carrier_id", "left").select(
-        "carrier_id",
-        F.struct("carrier_id", "company_name", "mc_number_raw", "contact_name").alias("carrier"),
+    primary = contacts.where("is_primary").groupBy("carrier_id").agg(
+        F.min("name").alias("contact_name")
     )
-    status_part = assessed.select(
-        "load_id", "carrier_id",
-        F.struct("candidate_id", "final_status", cand.open_reasons().alias("reasons"))
-        .alias("eligibility"),
+    carrier_part = at_hand(carriers.join(primary, "carrier_id", "left").select(
+        "carrier_id", "company_name", "mc_number_raw", "contact_name", "authority_status",
+        "safety_rating", "insurance_expiry", "onboarded",
+    ).withColumnRenamed("carrier_id", "_carrier"))
+    stated = inquiries.select(
+        "inquiry_id", "load_id", "carrier_id", *cand.stated_facts(), "availability_status", "summary"
     )
     rows = (
-        inquiries.select(
-            "inquiry_id", "load_id", "carrier_id", "summary",
-            F.col("availability_status").alias("availability"),
+        stated.join(summed, "inquiry_id", "left")
+        .select(
+            # an inquiry without a load has a key of its own
+            F.coalesce("load_id", F.concat(F.lit("\0"), "inquiry_id")).alias("_load"), "carrier_id",
+            "inquiry_id", "occurred_at", "_live", "_verified", "_said", "_truck", "availability_status",
+            "summary", *cand.QUOTE, "_usable", "_low", "_high",
         )
-        .join(load_part, "load_id", "left")
-        .join(carrier_part, "carrier_id", "left")
-        .join(status_part, ["load_id", "carrier_id"], "left")
-        .join(current, "inquiry_id", "left")
+        .join(load_part.hint("merge"), "_load", "left")
+        .withColumn("load_id", F.when(~F.startswith("_load", F.lit("\0")), F.col("_load")))
     )
+    # the same struct as candidates keep, in whose order quotes are compared
+    whole = lambda of: F.struct(*of, F.lit("explicit").alias("evidence_status"))
+    inner = lambda c: whole([F.col(f"{c}.{name}").alias(name) for name in cand.QUOTE])
+    first = F.when(F.col("_low").isNull(), whole(cand.QUOTE)).otherwise(inner("_low"))
+    last = F.when(F.col("_high").isNull(), first).otherwise(inner("_high"))
+    aggs = cand.fact_aggs(first, last, F.coalesce("_usable", F.lit(False)))
+    candidate = Window.partitionBy("_load", "carrier_id")
+    rows = rows.withColumns({name: agg.over(candidate) for name, agg in aggs.items()})
+    rows = rows.join(carrier_part, F.col("carrier_id") == F.col("_carrier"), "left").select(
+        "inquiry_id", "load_id", "carrier_id", "summary",
+        F.col("availability_status").alias("availability"), "load", "band_position", "_carrier",
+        F.when(F.col("quote_id").isNotNull(), F.struct("quote_id", "amount", "rate_basis", "quote_type"))
+        .alias("quote"),
+        F.when(F.col("_carrier").isNotNull(), F.struct(
+            F.col("_carrier").alias("carrier_id"), "company_name", "mc_number_raw", "contact_name"
+        )).alias("carrier"),
+        "authority_status", "safety_rating", "insurance_expiry", "onboarded",
+        F.col("load.pickup_date").alias("pickup_date"), "load_equipment", "identity_verified",
+        *cand.fact_results(),
+    )
+    known = F.col("_carrier").isNotNull() & F.col("load").isNotNull()
     per_mile = money.quote_as_per_mile(
         F.col("quote.amount"), F.col("quote.rate_basis"), F.col("load.distance_miles")
     )
-    return rows.withColumn("quote_per_mile", per_mile)
+    return cand.decided(rows).select(
+        "load_id", "carrier_id", "inquiry_id", "summary", "availability", "band_position", "load", "carrier",
+        F.when(known, F.struct(
+            cand.candidate_id().alias("candidate_id"), "final_status", cand.open_reasons().alias("reasons")
+        )).alias("eligibility"),
+        "quote", per_mile.alias("quote_per_mile"),
+    )
 
 
 def draft_links(context: DataFrame) -> DataFrame:

@@ -234,7 +234,8 @@ def assess(
     serves that join, the grouping and all that follows by load; where a load is hot the join
     splits it. Ties for the last inquiry go to the highest id.
     """
-    load_facts = loads.selectExpr(*_LOAD_FACTS)
+    # a broadcast of few loads would leave the rows to be shuffled as wide partial results
+    load_facts = loads.selectExpr(*_LOAD_FACTS).hint("merge")
     keys = [*CANDIDATE, *[c for c in load_facts.columns if c != "load_id"]]
     grouped = quoted_inquiries(inquiries, quotes).join(load_facts, "load_id").groupBy(*keys).agg(
         *named(_quote_aggs()),
@@ -454,14 +455,14 @@ def assessment_history(
 ) -> DataFrame:
     """New immutable assessments to append: only candidates whose facts changed.
 
-    ``existing`` holds candidate_id, fact_hash, evaluated_at of all earlier assessments.
+    ``existing`` holds load_id, carrier_id, fact_hash, evaluated_at of all earlier assessments.
     """
-    newest = existing.groupBy("candidate_id").agg(
+    newest = existing.groupBy(*CANDIDATE).agg(
         F.max_by("fact_hash", F.struct("evaluated_at", "fact_hash")).alias("known_hash")
     )
     return (
         assessed.withColumn("fact_hash", fact_hash())
-        .join(newest, "candidate_id", "left")
+        .join(newest, CANDIDATE, "left")
         .where(~F.col("known_hash").eqNullSafe(F.col("fact_hash")))
         .select(
             F.sha2(F.concat_ws("\x00", "candidate_id", "fact_hash", evaluated_at.cast("string")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brokerlake import vocab
 from brokerlake.functions import money
+from brokerlake.scale import at_hand
 
 LANE = ["snapshot_id", "origin_state", "destination_state", "equipment_code"]
 
@@ -49,7 +50,7 @@ def latest_week_by_day(loads: DataFrame, rates: DataFrame) -> DataFrame:
 
 def market_context(loads: DataFrame, rates: DataFrame) -> DataFrame:
     """Every load with its market week, per-mile offer and band position (NULL when none)."""
-    market = latest_week_by_day(loads, rates)
+    market = at_hand(latest_week_by_day(loads, rates))
     joined = with_offered_per_mile(loads).join(market, [*LANE, "pickup_date"], "left")
     return joined.withColumn(
         "band_position",

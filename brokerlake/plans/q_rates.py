@@ -13,6 +13,7 @@ from brokerlake.plans.oracles import (
 )
 from brokerlake.plans.registry import joined, query
 from brokerlake.plans.tables import Tables, as_cents
+from brokerlake.scale import stored
 
 _MARKET_ROLES = ("loads", "market_rates")
 _FACT_ROLES = ("loads", "carriers", "inquiries", "quotes")
@@ -20,24 +21,25 @@ _ALL = ("loads", "market_rates", "carriers", "inquiries", "quotes")
 day = lambda c: F.col(c).cast("string").alias(c)
 
 
-def context(t: Tables) -> DataFrame:
-    return rates.market_context(t.loads, t.market_rates)
+def context(t: Tables, loads: DataFrame | None = None) -> DataFrame:
+    """The bound loads are derived once: their days and they themselves are read."""
+    return rates.market_context(stored(t.loads, "loads") if loads is None else loads, t.market_rates)
 
 
 def facts(t: Tables) -> DataFrame:
     return cand.current_facts(t.inquiries, t.quotes)
 
 
-def assessed(t: Tables) -> DataFrame:
-    return cand.assess(t.inquiries, t.quotes, t.carriers, t.loads)
+def assessed(t: Tables, loads: DataFrame | None = None) -> DataFrame:
+    return cand.assess(t.inquiries, t.quotes, t.carriers, t.loads if loads is None else loads)
 
 
 def linked(t: Tables) -> DataFrame:
     return t.inquiries.where("load_id IS NOT NULL AND carrier_id IS NOT NULL")
 
 
-def priced(t: Tables) -> DataFrame:
-    return cand.with_comparable_quote(assessed(t))
+def priced(t: Tables, loads: DataFrame | None = None) -> DataFrame:
+    return cand.with_comparable_quote(assessed(t, loads))
 
 
 @query("market_context", MARKET + """
@@ -265,13 +267,12 @@ FROM asked q LEFT JOIN assessed a ON a.load_id = q.load_id AND a.carrier_id = q.
 LEFT JOIN shown s ON s.candidate_id = a.candidate_id
 LEFT JOIN counted c ON c.candidate_id = a.candidate_id""", _FACT_ROLES)
 def candidate_assessment(t: Tables) -> DataFrame:
-    known = t.inquiries.where("load_id IS NOT NULL AND carrier_id IS NOT NULL").select(
-        "load_id", "carrier_id"
-    )
-    shifted = known.withColumn(
-        "carrier_id", (F.col("carrier_id").cast("bigint") + 4).cast("string")
-    )
-    asked = known.unionByName(shifted).distinct()
+    shifted = (F.col("carrier_id").cast("bigint") + 4).cast("string")
+    # dealt by load like the assessments, so that asking for them needs no further shuffle
+    known = linked(t).select("load_id", "carrier_id").repartition("load_id").distinct()
+    asked = known.select(
+        "load_id", F.explode(F.array("carrier_id", shifted)).alias("carrier_id")
+    ).distinct()
     return cand.candidate_assessment(asked, assessed(t)).withColumn(
         "open_reasons", joined("open_reasons")
     ).withColumn("reason_count", F.col("reason_count").cast("bigint"))
@@ -286,7 +287,7 @@ def assessment_history(t: Tables) -> DataFrame:
     old = now.where(F.col("load_id").cast("bigint") % 3 == 0).withColumn(
         "fact_hash",
         F.when(F.col("final_status") == "blocked", F.lit("stale")).otherwise(cand.fact_hash()),
-    ).select("candidate_id", "fact_hash", F.lit("2024-01-01").cast("timestamp").alias("evaluated_at"))
+    ).select("load_id", "carrier_id", "fact_hash", F.lit("2024-01-01").cast("timestamp").alias("evaluated_at"))
     added = cand.assessment_history(old, now, F.lit("2024-02-01").cast("timestamp"))
     return added.select("candidate_id", "final_status")
 
@@ -303,7 +304,8 @@ SELECT b.load_id, b.status, coalesce(CASE b.equipment_code WHEN 'box_truck' THEN
   r.lowest_eligible AS lowest_eligible_cents
 FROM banded b LEFT JOIN best r USING (load_id)""", _ALL)
 def load_facts(t: Tables) -> DataFrame:
-    rows = boards.load_facts(context(t), rates.best_rates(priced(t)))
+    loads = stored(t.loads, "loads")
+    rows = boards.load_facts(context(t, loads), rates.best_rates(priced(t, loads)))
     return rows.select(
         "load_id", "status", "equipment", "distance_miles",
         as_cents(F.col("offered_rate_usd")).alias("offered_cents"),
@@ -324,7 +326,7 @@ def dashboard_counts(t: Tables) -> DataFrame:
 
 def draft_rows(t: Tables) -> DataFrame:
     return boards.draft_context(
-        t.inquiries, t.loads, t.carriers, t.carrier_contacts, t.quotes, assessed(t), context(t)
+        t.inquiries, t.carriers, t.carrier_contacts, t.quotes, context(t)
     )
 
 
