@@ -77,3 +77,18 @@ def test_drafts_see_the_assessments(spark):
         assert (r.quote and r.quote.quote_id) == current.get(r.inquiry_id)
         found = known.get(f"{of.load_id}|{of.carrier_id}")
         assert (r.eligibility and (r.eligibility.final_status, r.eligibility.reasons)) == found
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A thousand texts of 100 kB are not one batch."""
+    import pandas as pd
+
+    from brokerlake.scale import tune
+
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    tune(spark)
+    rows = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("é"), 100_000).alias("text"))
+    assert rows.select(held("text").alias("n")).agg(F.max("n")).first()[0] < 8_000_000
