@@ -61,22 +61,19 @@ class JobProcessor(StatefulProcessor):
     def _state(self) -> tuple:
         return tuple(self._settled.get()) if self._settled.exists() else _START
 
-    def _queue(self) -> list[tuple[int, int, int]]:
+    def _stretches(self) -> dict[int, tuple[list, list, list]]:
+        """The waiting transitions by stretch of time."""
+        return {int(stretch): tuple(map(list, value)) for (stretch,), value in self._waiting.iterator()}
+
+    @staticmethod
+    def _queue(stretches: dict[int, tuple[list, list, list]]) -> list[tuple[int, int, int]]:
         """The waiting transitions in order, each once."""
         found = {
             (int(at), int(seq)): int(code)
-            for _, value in self._waiting.iterator() for at, seq, code in zip(*value)
+            for value in stretches.values() for at, seq, code in zip(*value)
         }
         return [(at, seq, found[at, seq]) for at, seq in sorted(found)]
 
-    def _wait(self, frame: pd.DataFrame) -> None:
-        for stretch, rows in frame.groupby(frame["at"] // self._stretch):
-            known = self._waiting.getValue((int(stretch),)) or ([], [], [])
-            new = (rows["at"], rows["seq_key"], rows["code"])
-            self._waiting.updateValue(
-                (int(stretch),), tuple([*map(int, a), *map(int, b)] for a, b in zip(known, new))
-            )
-
     def _settle(self, queue: list[tuple[int, int, int]], before: int) -> None:
         """Fold the waiting transitions before a time into the settled state."""
         status, retries, last_at, last_seq = self._state()
@@ -94,27 +91,28 @@ class JobProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, retries, last_at, last_seq = self._state()
-        first = newest = None
+        # plain lists: a job has few rows in a batch, and frames cost more than the work on them
+        new, late = [], []
         for frame in rows:
-            behind = (frame["at"] < last_at) | (
-                (frame["at"] == last_at) & (frame["seq_key"] < last_seq)
-            )
-            if behind.any():
-                yield _frame([
-                    (key[0], name, int(seq), False, status, int(retries), None, int(at), True)
-                    for name, seq, at in zip(*(frame.loc[behind, c] for c in ("transition", "seq_key", "at")))
-                ])
-            again = (frame["at"] == last_at) & (frame["seq_key"] == last_seq)
-            frame = frame[~behind & ~again]
-            if frame.empty:
-                continue
-            self._wait(frame)
-            place = min(zip(frame["at"], frame["seq_key"]))
-            first = place if first is None else min(first, place)
-            newest = int(frame["at"].max()) if newest is None else max(newest, int(frame["at"].max()))
-        if first is None:
+            for name, seq, at, code in zip(*(frame[c].tolist() for c in ("transition", "seq_key", "at", "code"))):
+                if (at, seq) < (last_at, last_seq):
+                    late.append((key[0], name, seq, False, status, int(retries), None, at, True))
+                elif (at, seq) != (last_at, last_seq):
+                    new.append((at, seq, code))
+            if late:
+                yield _frame(late)
+                late = []
+        if not new:
             return
-        queue, out = self._queue(), []
+        first, newest = min(new)[:2], max(new)[0]
+        waiting = self._stretches()
+        changed = set()
+        for row in new:
+            stretch = row[0] // self._stretch
+            changed.add(stretch)
+            for values, value in zip(waiting.setdefault(stretch, ([], [], [])), row):
+                values.append(value)
+        queue, out = self._queue(waiting), []
         for at, seq, code in queue:
             after = next_state(TRANSITIONS[code], status, retries)
             status, retries = after or (status, retries)
@@ -122,6 +120,8 @@ class JobProcessor(StatefulProcessor):
                 out.append((key[0], TRANSITIONS[code], seq, after is not None, status, int(retries),
                             None, at, False))
         if self._stale_seconds is None:
+            for stretch in changed:
+                self._waiting.updateValue((stretch,), waiting[stretch])
             # the watermark reaches it when nothing older is due any more
             self._handle.registerTimer(max(1, newest // 1000 + 1))
         else:
@@ -134,7 +134,7 @@ class JobProcessor(StatefulProcessor):
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        queue = self._queue()
+        queue = self._queue(self._stretches())
         if self._stale_seconds is None:
             self._settle(queue, expiredTimerInfo.getExpiryTimeInMs() * 1000)
             return

@@ -282,3 +282,59 @@ def test_completed_batches_are_not_run_again(spark):
     assert got == {"a": ("completed", 1, 0, ""), "b": ("completed", 1, 0, ""),
                    "c": ("partially_failed", 1, 1, "row 0: E"), "d": ("completed", 1, 0, "")}
     assert not ingestion.rerun_batches(batches.limit(0), again.limit(0)).count()
+
+
+def test_a_batch_reads_the_waiting_transitions_of_a_job_once():
+    """State lies behind a socket: it is read once, and only changed stretches are written."""
+    import pandas as pd
+
+    from brokerlake.operators.jobs import TRANSITIONS
+    from brokerlake.streaming.job_state import JobProcessor
+
+    class State:
+        def __init__(self):
+            self.kept, self.calls = {}, []
+
+        def exists(self):
+            return () in self.kept
+
+        def get(self):
+            return self.kept[()]
+
+        def iterator(self):
+            self.calls.append("iterator")
+            return iter(list(self.kept.items()))
+
+        def getValue(self, key):
+            self.calls.append("getValue")
+            return self.kept.get(key)
+
+        def updateValue(self, key, value):
+            self.calls.append("updateValue")
+            self.kept[key] = value
+
+    class Handle:
+        def __init__(self):
+            self.settled, self.waiting, self.timers = State(), State(), []
+
+        def getValueState(self, *_):
+            return self.settled
+
+        def getMapState(self, *_):
+            return self.waiting
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, processor = Handle(), JobProcessor(None, 10)
+    processor.init(handle)
+    batch = lambda *rows: iter([pd.DataFrame(
+        [(n, s, a * 1_000_000, c) for n, s, a, c in rows], columns=["transition", "seq_key", "at", "code"])])
+    claim, complete = TRANSITIONS.index("claim"), TRANSITIONS.index("complete")
+    first = list(processor.handleInputRows(
+        ("j",), batch(("complete", 2, 25, complete), ("claim", 1, 5, claim), ("claim", 3, 35, claim)), None))
+    assert list(first[0]["status"]) == ["processing", "completed", "completed"]
+    handle.waiting.calls.clear()
+    second = list(processor.handleInputRows(("j",), batch(("claim", 0, 36, claim)), None))
+    assert list(second[0]["accepted"]) == [False]
+    assert handle.waiting.calls == ["iterator", "updateValue"]
