@@ -142,7 +142,7 @@ def resolve_equipment(
     """Add ``equipment_code``: alias label first, then code or display name of an active type.
 
     Aliases and types are the equipment vocabulary; the lookup is one map built from it per
-    label, joined by equality.
+    label, joined by equality. It goes to every task, as rows with one label are many.
     """
     by_alias = aliases if source is None else aliases.where(F.col("source") == source)
     labels = by_alias.select(
@@ -163,6 +163,6 @@ def resolve_equipment(
     )
     return (
         df.withColumn("_label", casefold(strip(F.col(raw))))
-        .join(lookup, "_label", "left")
+        .join(F.broadcast(lookup), "_label", "left")
         .drop("_label")
     )

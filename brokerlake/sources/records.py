@@ -18,6 +18,7 @@ do not depend on where the file was split. No task holds more than a batch and o
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,12 +34,16 @@ class Lines:
 
     separator = "\n"
 
-    def walk(self, piece: str, inside: bool) -> tuple[bool, int]:
+    def walk(self, text: str, inside: bool) -> tuple[bool, int]:
         return False, 0
 
     def reader(self, inside: bool, depth: int) -> _LineReader:
         return _LineReader(self, inside)
 
+    def cut(self, text: str, inside: bool) -> tuple[list[str], bool]:
+        """The records of whole lines, and whether the last one goes on behind them."""
+        return text.split("\n"), False
+
     def text(self, record: Column) -> Column:
         """A record that ends in a carriage return has them before all its line breaks."""
         bare = F.replace(F.rtrim(record, F.lit("\r")), F.lit("\r\n"), F.lit("\n"))
@@ -48,24 +53,24 @@ class Lines:
 class Csv(Lines):
     """Fields may be quoted, a quote inside of quotes is doubled; one elsewhere is text."""
 
-    _QUOTED = re.compile(r'[^"]*+(?:""[^"]*+)*+"')
-
-    def walk(self, piece: str, inside: bool) -> tuple[bool, int]:
-        """Whether the reader is inside of quotes behind the line."""
-        if '"' not in piece:
-            return inside, 0
-        at = 0
-        while True:
-            if not inside and piece.startswith('"', at):
-                at, inside = at + 1, True
-            if inside:
-                end = self._QUOTED.match(piece, at)
-                if end is None:
-                    return True, 0
-                at, inside = end.end(), False
-            at = piece.find(",", at) + 1
-            if at == 0:
-                return False, 0
+    _QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+    _OPENED = re.compile(rf'[,\n]{_QUOTED}("|\Z)')
+    _FIELD = rf'(?:{_QUOTED}(?:"|\Z))?+[^,\n]*+'
+    _RECORD = re.compile(rf"{_FIELD}(?:,{_FIELD})*+(?:\n|\Z)")
+
+    def walk(self, text: str, inside: bool) -> tuple[bool, int]:
+        """Whether the reader is inside of quotes behind the lines."""
+        last = deque(self._OPENED.finditer(('\n"' if inside else "\n") + text), maxlen=1)
+        return bool(last) and not last[0][1], 0
+
+    def cut(self, text: str, inside: bool) -> tuple[list[str], bool]:
+        found = self._RECORD.findall(('"' if inside else "") + text + "\n")
+        found.pop()  # the empty match at the end
+        open_at_end = self.walk(found[-1], False)[0]
+        found = [record[:-1] for record in found]
+        if inside:
+            found[0] = found[0][1:]
+        return found, open_at_end
 
 
 class _LineReader:
@@ -76,17 +81,16 @@ class _LineReader:
         self.rest: list[str] | None = [] if inside else None
         self.problems: list[str] = []
 
-    def feed(self, piece: str, first: bool) -> Iterator[str]:
-        was, (self.inside, _) = self.inside, self.grammar.walk(piece, self.inside)
-        if was:
-            self.rest.append("\n" + piece)
-        elif self.inside:
-            self.rest = [piece]
-        elif piece.strip("\r"):
-            yield piece
-        if was and not self.inside:
-            done, self.rest = "".join(self.rest), None
-            yield done
+    def feed(self, text: str, first: bool) -> Iterator[str]:
+        was = self.inside
+        found, self.inside = self.grammar.cut(text, was)
+        last = found.pop() if self.inside else None
+        if was and found:
+            yield "".join([*self.rest, "\n", found[0]])
+            self.rest = None
+        yield from [record for record in found[was:] if record.strip("\r")]
+        if self.inside:
+            self.rest = [*self.rest, "\n", last] if self.rest is not None else [last]
 
 
 class JsonArray:
@@ -98,7 +102,7 @@ class JsonArray:
     _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\],]', re.S)
 
     def walk(self, piece: str, inside: bool) -> tuple[bool, int]:
-        """Whether the reader is inside of a string behind the piece, and the change of depth."""
+        """Whether the reader is inside of a string behind the pieces, and the change of depth."""
         if inside:
             end = self._CLOSE.match(piece)
             if end is None:
@@ -175,6 +179,23 @@ def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     )
 
 
+def _runs(batch) -> Iterator:
+    """((file, block), rows) for each stretch of a batch that belongs to one range."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    count, file, block = batch.num_rows, batch.column("file"), batch.column("block")
+    if count == 0:
+        return
+    other = pc.or_(
+        pc.not_equal(file.slice(1), file.slice(0, count - 1)),
+        pc.not_equal(block.slice(1), block.slice(0, count - 1)),
+    )
+    starts = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), count]
+    for start, end in zip(starts, starts[1:]):
+        yield (file[start].as_py(), block[start].as_py()), batch.slice(start, end - start)
+
+
 def _blocks(pieces: DataFrame, grammar) -> DataFrame:
     """(file, block, inside, depth): the state in which each range begins; ``bytes`` are what its
     pieces hold with a separator behind each, of ``file_bytes`` in the file."""
@@ -193,21 +214,18 @@ def _blocks(pieces: DataFrame, grammar) -> DataFrame:
 
         current, ends, size, walk = None, [], 0, grammar.walk
         lead = "}" if grammar.separator == "}" else ""
-        for batch in batches:
-            names = ("file", "block", "piece", "bytes", "file_bytes")
-            for file, block, piece, length, of in zip(*(batch.column(n).to_pylist() for n in names)):
-                if (file, block) != current:
-                    if current is not None:
-                        yield row(current, ends, size, file_size)
-                    current, ends, size, file_size = (file, block), [(False, 0), (True, 0)], 0, of
-                    piece = piece if block == 0 else lead + piece
-                else:
-                    piece = lead + piece
-                size += length + 1
-                ends = [
-                    (then, depth + change) for inside, depth in ends
-                    for then, change in (walk(piece, inside),)
-                ]
+        for key, rows in (run for batch in batches for run in _runs(batch)):
+            pieces, first = rows.column("piece").to_pylist(), key != current
+            if first:
+                if current is not None:
+                    yield row(current, ends, size, file_size)
+                current, ends, size = key, [(False, 0), (True, 0)], 0
+                file_size = rows.column("file_bytes")[0].as_py()
+            text = grammar.separator.join(pieces)
+            text = text if first and key[1] == 0 else lead + text
+            size += sum(rows.column("bytes").to_pylist()) + len(pieces)
+            after = {inside: walk(text, inside) for inside in {inside for inside, _ in ends}}
+            ends = [(after[inside][0], depth + after[inside][1]) for inside, depth in ends]
         if current is not None:
             yield row(current, ends, size, file_size)
 
@@ -243,44 +261,41 @@ def _parts(pieces: DataFrame, blocks: DataFrame, grammar) -> DataFrame:
         import pyarrow as pa
 
         current, reader, seq, continued = None, None, 0, False
-        out: list[tuple] = []
 
-        def finish():
+        def parts(seqs: list[int], marks: list[str], texts: list) -> pa.RecordBatch:
+            file, block = current
+            return pa.RecordBatch.from_pydict({
+                "file": pa.array([file] * len(seqs), pa.string()),
+                "block": pa.array([block] * len(seqs), pa.int64()), "seq": pa.array(seqs, pa.int64()),
+                "part": pa.array(marks, pa.string()), "text": pa.array(texts, pa.string()),
+            })
+
+        def finish() -> pa.RecordBatch:
             """What is left of a range: the beginning of a record, or all of one's middle."""
-            for problem in reader.problems:
-                out.append((*current, -1, problem, None))
-            reader.problems.clear()
+            noted = len(reader.problems)
+            seqs, marks, texts = [-1] * noted, list(reader.problems), [None] * noted
             if reader.rest is not None:
-                text = "".join(reader.rest)
-                out.append((*current, -1 if continued else seq, "middle" if continued else "begun", text))
-
-        for batch in batches:
-            names = ("file", "block", "inside", "depth", "piece")
-            for file, block, inside, depth, piece in zip(*(batch.column(n).to_pylist() for n in names)):
-                first = False
-                if (file, block) != current:
-                    if current is not None:
-                        finish()
-                    current, reader, seq = (file, block), grammar.reader(inside == 1, depth), 0
-                    continued, first = reader.rest is not None, block == 0
-                for text in reader.feed(piece, first):
-                    if continued:
-                        out.append((*current, -1, "ended", text))
-                        continued = False
-                    else:
-                        out.append((*current, seq, "whole", text))
-                        seq += 1
-            yield pa.RecordBatch.from_pydict({
-                name: pa.array([row[i] for row in out], pa.int64() if i in (1, 2) else pa.string())
-                for i, name in enumerate(("file", "block", "seq", "part", "text"))
-            })
-            out.clear()
+                seqs.append(-1 if continued else seq)
+                marks.append("middle" if continued else "begun")
+                texts.append("".join(reader.rest))
+            return parts(seqs, marks, texts)
+
+        for key, rows in (run for batch in batches for run in _runs(batch)):
+            first = False
+            if key != current:
+                if current is not None:
+                    yield finish()
+                inside, depth = rows.column("inside")[0].as_py(), rows.column("depth")[0].as_py()
+                current, reader, seq = key, grammar.reader(inside == 1, depth), 0
+                continued, first = reader.rest is not None, key[1] == 0
+            texts = list(reader.feed(grammar.separator.join(rows.column("piece").to_pylist()), first))
+            ended = 1 if continued and texts else 0
+            continued = continued and not ended
+            whole = len(texts) - ended
+            yield parts([-1] * ended + list(range(seq, seq + whole)), ["ended"] * ended + ["whole"] * whole, texts)
+            seq += whole
         if current is not None:
-            finish()
-            yield pa.RecordBatch.from_pydict({
-                name: pa.array([row[i] for row in out], pa.int64() if i in (1, 2) else pa.string())
-                for i, name in enumerate(("file", "block", "seq", "part", "text"))
-            })
+            yield finish()
 
     # one row a range: a broadcast keeps the pieces in order
     states = F.broadcast(blocks.select("file", "block", "inside", "depth"))

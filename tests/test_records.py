@@ -115,3 +115,34 @@ def test_numbers_beyond_int_reject_their_row(spark):
     assert [r.load_id for r in loads.collect()] == ["0"]
     assert sorted((r.load_id, r.p) for r in rejected.select("load_id", F.array_join("problems", ",").alias("p")).collect()) == [
         ("1", "distance_miles"), ("2", "weight_lbs"), ("3", "distance_miles")]
+
+
+def test_csv_fields_are_cut_once(spark, tmp_path):
+    """Filters on fields do not cut the record again, and the labels of all rows meet no shuffle."""
+    row = lambda n: ",".join(f"2{n}" if c == "load_id" else "x" for c in schemas.LOAD_COLUMNS)
+    (tmp_path / "x.csv").write_text("\n".join([",".join(schemas.LOAD_COLUMNS), row(1), row(2)]))
+    aliases = spark.createDataFrame([("dataset", "x", "box_truck")],
+                                    "source string, normalized_label string, equipment_code string")
+    rows, problems = files.read_loads(spark, str(tmp_path / "x.csv"))
+    loads, rejected = ingestion.import_loads(rows, aliases, "s", "UTC")
+    for frame in (problems, loads, rejected):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "from_csv" not in plan and "SortMergeJoin" not in plan
+    assert {r.load_id for r in rejected.collect()} == {"21", "22"} and loads.isEmpty()
+
+
+def test_lines_are_cut_alike_however_they_arrive():
+    """A reader that is given lines at once and one that is given each apart cut the same records."""
+    rng = random.Random(5)
+    for grammar in (records.Csv(), records.Lines()):
+        for _ in range(3000):
+            lines = "".join(rng.choices('ab,"\n\r', weights=[2, 1, 3, 4, 2, 1], k=rng.randint(0, 40))).split("\n")
+            for inside in ((False, True) if isinstance(grammar, records.Csv) else (False,)):
+                found = []
+                for step in (1, 3, len(lines)):
+                    reader = grammar.reader(inside, 0)
+                    texts = [text for at in range(0, len(lines), step)
+                             for text in reader.feed("\n".join(lines[at : at + step]), False)]
+                    found.append((texts, reader.inside, reader.rest and "".join(reader.rest)))
+                    assert grammar.walk("\n".join(lines), inside)[0] == reader.inside
+                assert found[0] == found[1] == found[2]
