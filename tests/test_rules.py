@@ -62,3 +62,15 @@ def test_a_hot_key_is_few_rows_after_the_partial_sum(spark):
 def test_declared_references_are_distinct():
     names = [r.name for r in dq.RULES + dq.REFERENCES]
     assert len(names) == len(set(names)) and len(dq.REFERENCES) > 40
+
+
+def test_a_column_states_its_keys_once_for_all_references(spark):
+    rules = (dq.reference("box", "shelf", "shelf", "id"), dq.reference("box", "owner", "shelf", "id"),
+             dq.reference("shelf", "key", "box", "name"), dq.unique("shelf", "shelf_id", "id"))
+    given = tables(spark, ROWS, [(1, "a"), (2, "k"), (2, "k"), (None, None)])
+    places = dq._places(list(rules))
+    assert len(dq._facts("shelf", list(rules), places, 2)) == 3  # its id once, its reference, its rule
+    got = {r.rule: r.violations for r in dq.violations(given, rules).collect()}
+    assert got == {"box_shelf_fk": 2, "box_owner_fk": 1, "shelf_key_fk": 2, "shelf_id": 1}
+    for rule in rules:
+        assert dq.rule_violations(rule, given).count() == got[rule.name], rule.name
