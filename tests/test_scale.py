@@ -178,3 +178,17 @@ def test_positions_rank_hot_keys_over_ranges_and_others_where_they_are(spark, mo
     for got in (plain, scale.positions(rows, ["key"], order),
                 scale.positions(rows, ["key"], order, bound=rows.unionByName(rows))):
         assert got.count() == 9_000 and got.exceptAll(expected).count() == 0
+
+
+def test_tasks_read_small_splits(spark):
+    from brokerlake.plans.tables import Tables
+
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for given, want in [("128MB", "16m"), ("134217728b", "16m"), ("1g", "16m"), ("1m", "1m"), ("4096", "4096")]:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", given)
+            Tables(spark, "/root/testdata/sf0.001")
+            got = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
