@@ -9,7 +9,7 @@ from brokerlake import vocab
 from brokerlake.functions import money
 from brokerlake.functions.text import icontains
 from brokerlake.operators import candidates as cand
-from brokerlake.scale import at_hand
+from brokerlake.scale import at_hand, stored
 
 
 def event_when() -> list[Column]:
@@ -252,11 +252,14 @@ def carrier_facts(carriers: DataFrame) -> DataFrame:
 
 
 def carrier_candidacies(assessed: DataFrame) -> DataFrame:
-    return assessed.select(
+    """Every candidacy by carrier. The rows are stored before they are sorted: a sort reads its input
+    twice, first for the borders of its ranges, and would assess all candidates each time."""
+    rows = assessed.select(
         "carrier_id", "load_id", "pickup_date", "final_status",
         cand.open_reasons().alias("open_reasons"),
         F.col("current_quote.quote_id").alias("quote_id"),
-    ).orderBy("carrier_id", F.col("pickup_date").asc_nulls_last(), "load_id")
+    )
+    return stored(rows, "candidacies").orderBy("carrier_id", F.col("pickup_date").asc_nulls_last(), "load_id")
 
 
 # -- histories ------------------------------------------------------------------------------------

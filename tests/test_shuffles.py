@@ -92,3 +92,9 @@ def test_texts_go_to_python_in_small_batches(spark):
     tune(spark)
     rows = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("é"), 100_000).alias("text"))
     assert rows.select(held("text").alias("n")).agg(F.max("n")).first()[0] < 8_000_000
+
+
+def test_candidacies_are_assessed_once_for_their_sort(spark):
+    """A sort reads its input twice; that input is a table, not the assessment."""
+    plan = PLANS["carrier_candidacies"](Tables(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Aggregate" not in plan and "Join" not in plan
