@@ -338,3 +338,18 @@ def test_a_batch_reads_the_waiting_transitions_of_a_job_once():
     second = list(processor.handleInputRows(("j",), batch(("claim", 0, 36, claim)), None))
     assert list(second[0]["accepted"]) == [False]
     assert handle.waiting.calls == ["iterator", "updateValue"]
+
+
+def test_emails_are_fingerprinted_once(spark, tmp_path):
+    """Rows and checks read what was stored; the fields are those of the text, and none is lost."""
+    email = {"email_id": "A", "timestamp": "2026-05-01T10:00:00Z", "from_email": "X@y.z", "to_email": "d",
+             "subject": "s \"é\"", "body": "one\n{two}, \\ three"}
+    (tmp_path / "e.json").write_text(json.dumps([email, {**email, "email_id": "B", "subject": None}]))
+    rows, problems = files.read_emails(spark, str(tmp_path / "e.json"))
+    for frame in (rows, problems):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "sha2" not in plan and "ArrowEvalPython" not in plan
+    got = {r.email_id: r for r in rows.collect()}
+    assert {f: got["A"][f] for f in email} == email and got["B"].subject is None
+    assert json.loads(got["A"].row_json) == email and got["A"].source_occurred_at is not None
+    assert len(got["A"].content_fingerprint) == 64 and problems.isEmpty()
