@@ -1,9 +1,13 @@
 """Alignment of two tokenizers' tokens over the bytes of the same texts.
 
-A task encodes its documents with both tokenizers and lays their tokens out by byte position; each
-document has a range of positions of its own, which keys the match by document. ``merge_asof`` finds
-for each token's start the covering token of the other side; the union of both directions holds every
-overlapping pair once, and overlaps whose tokens end together are the links, which close the groups.
+A task encodes texts with both tokenizers and lays their tokens out by byte position; each text has
+a range of positions of its own, which keys the match by text. ``merge_asof`` finds for each token's
+start the covering token of the other side; the union of both directions holds every overlapping pair
+once, and overlaps whose tokens end together are the links, which close the groups.
+
+Where no token of either side reaches over the space before a word, both sides end together at every
+word's end, so the alignment of a document is that of its words in a row. A task aligns the words of a
+batch that it has not met before, and a document whose white space may join words as one.
 
 What leaves the task is one row per document: its figures, and its distinct linked id pairs with
 their numbers. Pair counts over the corpus are an aggregate of those. Of two tokens that end at the
@@ -17,6 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 from brokerlake.llm.common import prepare, stored, texts
 from brokerlake.llm.tokens import Words
 
-#: Characters of the documents that are aligned at once (a longer one alone), and words remembered.
-_CHARS, _KEEP = 1_000_000, 400_000
+#: Characters of the documents that are aligned at once (a longer one alone), and words and links remembered.
+_CHARS, _KEEP, _KEEP_LINKS = 1_000_000, 500_000, 5_000_000
+#: words that A reads at once as one text, as no space or letter of them may be read otherwise there
+_PLAIN, _JOINED = r"^\n?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*$", 1_000
 _RUN = re.compile(r"\s\s")
 _SPACE = "▁"
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -74,105 +81,171 @@ class Sides:
         self._forget()
         #: an id in digits with the mark behind it: within a side, after A's part, after a group, at the end
         self.top = max(len(self.a_bytes), len(self.b_bytes))
-        self.shown = np.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.top)], "S")
+        self.shown = np.array([f"{i}{mark}" for mark in (",", "|", ";", "\n") for i in range(self.top)], "S")
 
     def _forget(self) -> None:
+        import numpy as np
+
         self.known: dict[str, int] = {}
-        self.words_a, self.words_b = Words(), Words()
-        self.unlike: list[bool] = []
+        #: by place: tokens of A and B and whether the bytes do not come back; pair codes; groups
+        self.figures = np.zeros((3, 0), "i8")
+        self.links = Words("i8")
+        self.groups: list[bytes] = []
+
+    def _ids_a(self, said: list[str]) -> list[list[int]]:
+        return [one.ids for one in self.a.encode_batch_fast(said, add_special_tokens=False)]
 
     def encode(self, docs: list[str]) -> list[tuple | None]:
         """Id arrays of both sides for each text, or None where its bytes do not come back."""
         import numpy as np
 
-        if len(self.known) > _KEEP:
-            self._forget()
-        split = [
-            None if not self.by_word or _RUN.search(" " + text)
-            else text.replace("\n", " \n").split(" ") for text in docs
-        ]
-        words = [word for one in split if one is not None for word in one]
-        places = list(map(self.known.get, words))
-        if None in places:
-            self._learn(list({word for word, place in zip(words, places) if place is None}))
-            places = list(map(self.known.__getitem__, words))
-        at = np.array(places, "i8")
-        ends = np.cumsum([0, *(len(one) for one in split if one is not None)])
-        sides = [known.take(at) for known in (self.words_a, self.words_b)]
-        cuts = [np.concatenate([[0], np.cumsum(sizes)])[ends] for _, sizes in sides]
-        bad = np.concatenate([[0], np.cumsum(np.array(self.unlike, bool)[at])])[ends]
-        whole = iter(self._whole([text for text, one in zip(docs, split) if one is None]))
-        found, n = [], 0
-        for one in split:
-            if one is None:
-                found.append(next(whole))
-                continue
-            found.append(None if bad[n + 1] > bad[n] else tuple(
-                ids[cut[n] : cut[n + 1]] for (ids, _), cut in zip(sides, cuts)
-            ))
-            n += 1
+        found: list[tuple | None] = []
+        both = zip(docs, self._ids_a([" " + text for text in docs]), self.b.encode(docs, num_threads=1))
+        for text, a, b in both:
+            raw = (" " + text).encode()
+            same = raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
+            found.append((np.array(a, "i8"), np.array(b, "i8")) if same else None)
         return found
 
-    def _ids_a(self, said: list[str]) -> list[list[int]]:
-        return [one.ids for one in self.a.encode_batch_fast(said, add_special_tokens=False)]
+    def align(self, docs: list[str]) -> tuple:
+        """Tokens of A, tokens of B and links of each text, its groups or None where its bytes do not
+        come back, and (document, pair code, number) of all distinct linked id pairs, by document."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > _KEEP or len(self.links) > _KEEP_LINKS:
+            self._forget()
+        split = np.array([self.by_word and not _RUN.search(" " + text) for text in docs], bool)
+        lines = pa.array([text for text, one in zip(docs, split) if one], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        distinct = cut.flatten().dictionary_encode()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False)  # far faster than to_pylist
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), "i8", len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            plain = pc.match_substring_regex(distinct.dictionary.take(pa.array(new)), _PLAIN)
+            plain = plain.to_numpy(zero_copy_only=False)
+            new = np.concatenate([new[plain], new[~plain]])
+            told = words[new].tolist()
+            places[new] = self._learn(told, int(plain.sum())) + np.arange(len(new))
+            self.known.update(zip(told, places[new].tolist()))
+        counts = np.ones(len(docs), "i8")
+        counts[split] = cut.value_lengths().to_numpy()
+        at = np.empty(int(counts.sum()), "i8")
+        of_words = np.repeat(split, counts)
+        at[of_words] = places[distinct.indices.to_numpy()]
+        if not split.all():
+            whole = [text for text, one in zip(docs, split) if not one]
+            said = [" " + text for text in whole]
+            at[~of_words] = self._add(
+                said, *_flat(self._ids_a(said)), *_flat(self.b.encode(whole, num_threads=1))
+            ) + np.arange(len(whole))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        n_a, n_b, bad = np.diff(np.concatenate(
+            [np.zeros((3, 1), "i8"), np.cumsum(self.figures[:, at], axis=1)], axis=1
+        )[:, ends])
+        like = bad == 0
+        codes, sizes = self.links.take(at)
+        n_links = np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends])
+        owner = np.repeat(np.arange(len(docs)), n_links)
+        if not like.all():
+            codes, owner = codes[like[owner]], owner[like[owner]]
+        span = int(codes.max(initial=0)) + 1
+        pairs, times = np.unique(owner * span + codes, return_counts=True)
+        shown = list(map(self.groups.__getitem__, at.tolist()))
+        groups = [
+            b";".join(shown[lo:hi]) if one else None
+            for lo, hi, one in zip(ends[:-1].tolist(), ends[1:].tolist(), like.tolist())
+        ]
+        return n_a * like, n_b * like, n_links * like, groups, (pairs // span, pairs % span, times)
 
-    def _learn(self, words: list[str]) -> None:
-        """The ids of words: one stands for a space and itself, or begins with its line end."""
+    def _learn(self, words: list[str], plain: int) -> int:
+        """Align words, ``plain`` ones first: one stands for a space and itself, or begins with its line
+        end. Gives the place of the first."""
         import numpy as np
 
-        spoken = [word if word.startswith("\n") else " " + word for word in words]
-        a = self._ids_a(spoken)
+        spoken = [word if word[:1] == "\n" else " " + word for word in words]
         b = self.b.encode(words, num_threads=1)
         for at, word in enumerate(words):
             if not word:
                 b[at] = [self.b.piece_to_id(_SPACE)]
             elif word[0] == "\n":  # without the space that the model puts in front
                 del b[at][0]
-        raw = [said.encode() for said in spoken]
-        like = np.ones(len(words), bool)
-        for ids, known, told, sizes in (
-            (a, self.words_a, self.a_bytes, self.a_sizes), (b, self.words_b, self.b_bytes, self.b_sizes)
-        ):
-            ends = np.cumsum(np.fromiter(map(len, ids), "i8", len(ids)))
-            flat = np.fromiter((i for one in ids for i in one), "i8", int(ends[-1]))
-            known.add(flat, ends)
-            reach = np.concatenate([[0], np.cumsum(sizes[flat])])[ends]
-            same = np.array_equal(reach, np.cumsum(np.fromiter(map(len, raw), "i8", len(raw))))
-            if not same or b"".join(map(told.__getitem__, flat.tolist())) != b"".join(raw):
-                like &= [b"".join([told[i] for i in one]) == said for one, said in zip(ids, raw)]
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words))))
-        self.unlike.extend((~like).tolist())
-
-    def _whole(self, docs: list[str]) -> list[tuple | None]:
+        joined = ["".join(spoken[i : min(i + _JOINED, plain)]) for i in range(0, plain, _JOINED)]
+        ids, _ = _flat(self._ids_a(joined))
+        reach = np.cumsum(self.a_sizes[ids])
+        wanted = np.cumsum(np.fromiter((len(one.encode()) for one in spoken[:plain]), "i8", plain))
+        ends = np.searchsorted(reach, wanted) + 1
+        if plain and (reach[-1] != wanted[-1] or (reach[ends - 1] != wanted).any()):
+            ids, ends = _flat(self._ids_a(spoken[:plain]))
+        others, other_ends = _flat(self._ids_a(spoken[plain:]))
+        return self._add(
+            spoken, np.concatenate([ids, others]), np.concatenate([ends, len(ids) + other_ends]), *_flat(b)
+        )
+
+    def _add(self, said: list[str], a, a_ends, b, b_ends) -> int:
+        """Align some texts, given the ids of both sides in a row and where each text's end; the place
+        of the first."""
         import numpy as np
 
-        found: list[tuple | None] = []
-        both = zip(docs, self._ids_a([" " + text for text in docs]), self.b.encode(docs, num_threads=1))
-        for text, a, b in both:
-            raw = (" " + text).encode()
-            same = raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
-            found.append((np.array(a, "u4"), np.array(b, "u4")) if same else None)
-        return found
+        first = len(self.groups)
+        raw = [one.encode() for one in said]
+        raw_ends = np.cumsum(np.fromiter(map(len, raw), "i8", len(raw)))
+        like = np.ones(len(raw), bool)
+        for ids, ends, told, sizes in (
+            (a, a_ends, self.a_bytes, self.a_sizes), (b, b_ends, self.b_bytes, self.b_sizes)
+        ):
+            reach = np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
+            parts = list(map(told.__getitem__, ids.tolist()))
+            if not np.array_equal(reach, raw_ends) or b"".join(parts) != b"".join(raw):
+                froms = [0, *ends.tolist()]
+                like &= [b"".join(parts[lo:hi]) == own for lo, hi, own in zip(froms, froms[1:], raw)]
+        n_a, n_b = (np.diff(ends, prepend=0) for ends in (a_ends, b_ends))
+        if not like.all():
+            a, b = a[np.repeat(like, n_a)], b[np.repeat(like, n_b)]
+            n_a, n_b = n_a * like, n_b * like
+        groups: list[bytes] = [b""] * len(raw)
+        sizes = np.zeros(len(raw), "i8")
+        codes = np.zeros(0, "i8")
+        if like.any():
+            found = Aligned(self, a, n_a[like], b, n_b[like])
+            codes = found.linked(len(self.b_bytes))
+            sizes[like] = np.diff(np.searchsorted(found.a_last, found.a_from))
+            for at, shown in zip(np.flatnonzero(like).tolist(), found.groups(self)):
+                groups[at] = shown
+        self.links.add(codes, np.cumsum(sizes))
+        self.figures = np.concatenate([self.figures, [n_a, n_b, ~like]], axis=1)
+        self.groups += groups
+        return first
+
+
+def _flat(ids: list[list[int]]):
+    """Lists of ids in a row, and where each ends."""
+    import numpy as np
+
+    ends = np.cumsum(np.fromiter(map(len, ids), "i8", len(ids)))
+    return np.fromiter(chain.from_iterable(ids), "i8", int(ends[-1]) if len(ids) else 0), ends
 
 
 class Aligned:
-    """The tokens, overlaps and links of some documents, of which none is without tokens."""
+    """The tokens, overlaps and links of some texts, of which none is without tokens.
 
-    def __init__(self, both: Sides, encoded: list[tuple]):
+    Given are the ids of each side in a row and how many each text has.
+    """
+
+    def __init__(self, both: Sides, a_ids, a_counts, b_ids, b_counts):
         import numpy as np
         import pandas as pd
 
-        def side(at: int, sizes):
-            ids = np.concatenate([one[at] for one in encoded]).astype("i8")
-            counts = np.fromiter((len(one[at]) for one in encoded), "i8", len(encoded))
+        def side(ids, counts, sizes):
             ends = np.cumsum(sizes[ids])
             frame = pd.DataFrame({"start": ends - sizes[ids], "token": np.arange(len(ids)), "end": ends})
             return ids, np.concatenate([[0], np.cumsum(counts)]), frame
 
-        # both sides of a document have equally many bytes, so it has one range of positions in both
-        self.a_ids, self.a_from, a = side(0, both.a_sizes)
-        self.b_ids, self.b_from, b = side(1, both.b_sizes)
+        # both sides of a text have equally many bytes, so it has one range of positions in both
+        self.a_ids, self.a_from, a = side(a_ids, a_counts, both.a_sizes)
+        self.b_ids, self.b_from, b = side(b_ids, b_counts, both.b_sizes)
         a_starts = pd.merge_asof(a, b, on="start", suffixes=("_a", "_b"))
         b_starts = pd.merge_asof(b, a, on="start", suffixes=("_b", "_a"))
         # equal starts are found in both directions
@@ -184,7 +257,7 @@ class Aligned:
         self.b_last = np.sort(links["token_b"].to_numpy())
 
     def groups(self, both: Sides) -> list[bytes]:
-        """Each document's groups as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
+        """Each text's groups as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
         import numpy as np
 
         a, b = np.arange(len(self.a_ids)), np.arange(len(self.b_ids))
@@ -197,20 +270,11 @@ class Aligned:
         shown = np.empty(len(a) + len(b), "i8")
         shown[a + before[a_group]] = self.a_ids + both.top * a_mark
         shown[b + self.a_last[b_group] + 1] = self.b_ids + both.top * b_mark
-        cuts = self.a_from + self.b_from
-        return [
-            both.shown[shown[lo:hi]].tobytes().translate(None, b"\0") for lo, hi in zip(cuts[:-1], cuts[1:])
-        ]
+        return both.shown[shown].tobytes().translate(None, b"\0").split(b"\n")[:-1]
 
     def linked(self, n_b: int):
-        """(document, pair code, number) of all distinct linked id pairs, in order of document."""
-        import numpy as np
-
-        documents = np.searchsorted(self.a_from, self.a_last, "right") - 1
-        codes = self.a_ids[self.a_last] * n_b + self.b_ids[self.b_last]
-        span = int(codes.max(initial=0)) + 1
-        found, counts = np.unique(documents * span + codes, return_counts=True)
-        return found // span, found % span, counts
+        """The pair codes of all links, in order of text."""
+        return self.a_ids[self.a_last] * n_b + self.b_ids[self.b_last]
 
 
 def _portions(docs: list[str]) -> Iterator[list[int]]:
@@ -267,16 +331,12 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             sizes = np.zeros(len(said), "i8")
             codes, times = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
             for part in _portions(said):
-                encoded = both.encode([said[at] for at in part])
-                places = np.array([at for at, one in zip(part, encoded) if one is not None], "i8")
-                if not len(places):
-                    continue
-                found = Aligned(both, [one for one in encoded if one is not None])
-                links = np.diff(np.searchsorted(found.a_last, found.a_from))
-                figures[:, places] = np.diff(found.a_from), np.diff(found.b_from), links, links
-                for at, shown in zip(places, found.groups(both)):
-                    hashes[at] = hashlib.sha256(shown).hexdigest()
-                owner, pairs, number = found.linked(n_b)
+                places = np.array(part, "i8")
+                n_as, n_bs, links, groups, (owner, pairs, number) = both.align([said[at] for at in part])
+                figures[:, places] = n_as, n_bs, links, links
+                for at, shown in zip(part, groups):
+                    if shown is not None:
+                        hashes[at] = hashlib.sha256(shown).hexdigest()
                 sizes[places] = np.bincount(owner, minlength=len(places))
                 codes.append(pairs)
                 times.append(number)
@@ -313,7 +373,11 @@ def overlaps(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 places = np.array([at for at, one in zip(part, encoded) if one is not None], "i8")
                 if not len(places):
                     continue
-                found = Aligned(both, [one for one in encoded if one is not None])
+                (a, n_a), (b, n_b) = (
+                    (np.concatenate(ids), [len(one) for one in ids])
+                    for ids in zip(*(one for one in encoded if one is not None))
+                )
+                found = Aligned(both, a, n_a, b, n_b)
                 pairs = found.overlaps
                 a, b = pairs["token_a"].to_numpy(), pairs["token_b"].to_numpy()
                 owner = np.searchsorted(found.a_from, a, "right") - 1

@@ -39,13 +39,17 @@ def encoder(path: str, spaces: bool) -> WordEncoder:
 class Words:
     """The ids of words already met, in one flat array with the place of each word."""
 
-    def __init__(self):
+    def __init__(self, kind: str = "u4"):
         import numpy as np
 
-        self.ids = np.zeros(1 << 16, "u4")
+        self.ids = np.zeros(1 << 16, kind)
         self.ends = np.zeros(1 << 14, "i8")
         self.count = 0
 
+    def __len__(self) -> int:
+        """All ids kept."""
+        return int(self.ends[self.count])
+
     def add(self, ids, ends) -> None:
         """More words: their ids in a row, and where each ends in them."""
         import numpy as np

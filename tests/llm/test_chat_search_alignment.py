@@ -273,6 +273,24 @@ def test_alignment_repeats_and_empty(spark):
     assert alignment.align_corpus(docs.limit(0), A, B).count() == 0
 
 
+def test_words_are_aligned_once(monkeypatch):
+    """Repeated words are matched once; a forgotten word, and one that no other is joined with, like the rest."""
+    import pandas as pd
+
+    matched, plain = [], pd.merge_asof
+    monkeypatch.setattr(pd, "merge_asof", lambda left, *a, **k: matched.append(len(left)) or plain(left, *a, **k))
+    both = alignment.Sides(A, B)
+    said = ["Straßenbahn, naïveté... and\nmore" + " and more" * 5_000, "x  y under", "under▁bar and", "", "tail "]
+    want = plain_alignment(said)[0]
+    for _ in range(2):
+        n_a, n_b, links, groups, _ = both.align(said)
+        assert [(a, b, n, n, sha(g.decode()) if g else "") for a, b, n, g in zip(n_a, n_b, links, groups)][:3] == [
+            row[:5] for row in want[:3]]
+    assert sum(matched) < 200
+    monkeypatch.setattr(alignment, "_KEEP", 0)
+    assert both.align(said)[3] == groups and len(both.known) < 20
+
+
 def test_overlaps_are_all_that_share_bytes(spark):
     said = ["Straßenbahnhaltestelle naïveté, antidisestablishmentarianism", "a  b", "x", None]
     docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
