@@ -98,3 +98,32 @@ def test_candidacies_are_assessed_once_for_their_sort(spark):
     """A sort reads its input twice; that input is a table, not the assessment."""
     plan = PLANS["carrier_candidacies"](Tables(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["assessment_history", "load_facts", "best_rates"])
+def test_shuffles_do_not_hang_on_the_number_of_cores(spark, name):
+    """Four partitions are asked for here; rows are dealt to many, and small ones are read together."""
+    rows = PLANS[name](Tables(spark, FOLDER))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = {int(n) for n in re.findall(r"Exchange hashpartitioning\((?:inquiry_id|load_id)[^,]*, (\d+)\)", plan)}
+    assert dealt == {1000}
+    assert rows.rdd.getNumPartitions() <= 16
+
+
+def test_smaller_settings_are_kept(spark):
+    from brokerlake.scale import small_splits
+
+    dealt, read = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = {name: spark.conf.get(name, None) for name in (dealt, read)}
+    try:
+        spark.conf.set(dealt, "7")
+        spark.conf.set(read, "8m")
+        small_splits(spark)
+        assert [spark.conf.get(name) for name in (dealt, read)] == ["7", "8m"]
+        spark.conf.unset(dealt)
+        spark.conf.unset(read)
+        small_splits(spark)
+        assert [spark.conf.get(name) for name in (dealt, read)] == ["1000", "16m"]
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
