@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brokerlake import vocab
 from brokerlake.operators import rates
-from brokerlake.scale import at_hand, nulls_last_key, positions
+from brokerlake.scale import AT_HAND, at_hand, nulls_last_key, positions, stored
 
 CANDIDATE = ["load_id", "carrier_id"]
 
@@ -234,18 +234,69 @@ def assess(
     serves that join, the grouping and all that follows by load; where a load is hot the join
     splits it. Ties for the last inquiry go to the highest id.
     """
+    grouped = _met_by_load(quoted_inquiries(inquiries, quotes), loads)
+    return decided(grouped.join(at_hand(carriers.select(*_CARRIER_FACTS)), "carrier_id"))
+
+
+def _met_by_load(quoted: DataFrame, loads: DataFrame) -> DataFrame:
+    """The current facts of each candidate beside those of its load, from ``quoted_inquiries``."""
     # a broadcast of few loads would leave the rows to be shuffled as wide partial results
     load_facts = loads.selectExpr(*_LOAD_FACTS).hint("merge")
     keys = [*CANDIDATE, *[c for c in load_facts.columns if c != "load_id"]]
-    grouped = quoted_inquiries(inquiries, quotes).join(load_facts, "load_id").groupBy(*keys).agg(
+    grouped = quoted.join(load_facts, "load_id").groupBy(*keys).agg(
         *named(_quote_aggs()),
         F.max(F.struct("_heard", "inquiry_id")).getField("inquiry_id").alias("latest_inquiry_id"),
     )
-    facts = grouped.select(
+    return grouped.select(
         candidate_id().alias("candidate_id"), *keys, "identity_verified", *fact_results(),
         "latest_inquiry_id",
     )
-    return decided(facts.join(at_hand(carriers.select(*_CARRIER_FACTS)), "carrier_id"))
+
+
+def may_be_eligible() -> Column:
+    """Whether some load may find a carrier eligible, by what is known of the carrier alone."""
+    return (
+        (authority_result(F.col("authority_status")) == "pass")
+        & (safety_result(F.col("safety_rating")) == "pass")
+        & F.col("insurance_expiry").isNotNull()
+        & F.col("onboarded")
+    )
+
+
+def assess_quoted(
+    inquiries: DataFrame, quotes: DataFrame, carriers: DataFrame, loads: DataFrame
+) -> DataFrame:
+    """``assess`` for prices only: every candidate that has a current quote, with that quote and
+    whether it is eligible (``final_status`` is 'eligible' or NULL).
+
+    Fewer and narrower rows are shuffled. A rejected inquiry contributes nothing; what is stated of
+    a carrier that can never be eligible decides nothing, so of its inquiries only the quotes count;
+    and an inquiry that brings neither a quote nor a fact stays where it met the quotes.
+    """
+    known = stored(carriers.select(*_CARRIER_FACTS), "side")
+    rows = inquiries.where(F.col("review_status") != "rejected")
+    if known.count() <= AT_HAND:
+        known = F.broadcast(known)
+        # more carriers would have to be met by a shuffle of its own
+        hopeful = known.where(may_be_eligible()).select("carrier_id", F.lit(True).alias("_hopeful"))
+        rows = rows.join(hopeful, "carrier_id", "left")
+    else:
+        rows = rows.withColumn("_hopeful", F.lit(True))
+    told = {
+        "carrier_resolution_status": F.when(F.col("_hopeful"), F.col("carrier_resolution_status")),
+        "availability_status": F.when(F.col("_hopeful"), F.col("availability_status")),
+        "equipment_code": F.when(F.col("_hopeful"), F.col("equipment_code")),
+    }
+    quoted = quoted_inquiries(rows.withColumns(told), quotes).withColumn("_live", F.lit(True))
+    brought = quoted.where(
+        F.col("quote_id").isNotNull() | F.col("_verified") | F.col("_said").isNotNull()
+        | F.col("_truck").isNotNull()
+    )
+    facts = _met_by_load(brought, loads).where("current_quote IS NOT NULL")
+    eligible = F.when(F.col("final_status") == "eligible", F.col("final_status"))
+    return decided(facts.join(known, "carrier_id")).select(
+        "candidate_id", *CANDIDATE, "distance_miles", "current_quote", eligible.alias("final_status")
+    )
 
 
 def decided(rows: DataFrame) -> DataFrame:

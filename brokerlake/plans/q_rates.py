@@ -42,6 +42,12 @@ def priced(t: Tables, loads: DataFrame | None = None) -> DataFrame:
     return cand.with_comparable_quote(assessed(t, loads))
 
 
+def quoted(t: Tables, loads: DataFrame | None = None) -> DataFrame:
+    """``priced`` for best rates, which ask of a status only whether it is eligible."""
+    loads = t.loads if loads is None else loads
+    return cand.with_comparable_quote(cand.assess_quoted(t.inquiries, t.quotes, t.carriers, loads))
+
+
 @query("market_context", MARKET + """
 SELECT load_id, cast(week_start AS varchar) AS week_start, min_cents, avg_cents, max_cents,
   pm_cents, band_position FROM banded""", _MARKET_ROLES)
@@ -305,7 +311,7 @@ SELECT b.load_id, b.status, coalesce(CASE b.equipment_code WHEN 'box_truck' THEN
 FROM banded b LEFT JOIN best r USING (load_id)""", _ALL)
 def load_facts(t: Tables) -> DataFrame:
     loads = stored(t.loads, "loads")
-    rows = boards.load_facts(context(t, loads), rates.best_rates(priced(t, loads)))
+    rows = boards.load_facts(context(t, loads), rates.best_rates(quoted(t, loads)))
     return rows.select(
         "load_id", "status", "equipment", "distance_miles",
         as_cents(F.col("offered_rate_usd")).alias("offered_cents"),

@@ -127,3 +127,114 @@ def test_smaller_settings_are_kept(spark):
     finally:
         for name, value in old.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _shuffles(plan):
+    """Rows that each shuffle of a finished plan wrote, by the expression it deals by."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if "QueryStage" in kind else [
+        plan.children().apply(n) for n in range(plan.children().size())]
+    own = [(plan.outputPartitioning().toString(), plan.metrics().apply("shuffleRecordsWritten").value())] if (
+        kind == "ShuffleExchangeExec") else []
+    return own + [found for below in inner for found in _shuffles(below)]
+
+
+@pytest.mark.parametrize("name", ["load_facts"])
+def test_best_rates_deal_only_inquiries_that_bear_on_them(spark, name):
+    """Rejected inquiries stay at home; of carriers that are never eligible only quotes are dealt by load."""
+    t = Tables(spark, FOLDER)
+    linked = t.inquiries.where("load_id IS NOT NULL AND carrier_id IS NOT NULL")
+    live = linked.where("review_status <> 'rejected'").count()
+    quoted = t.quotes.where(cand.usable_quote()).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = PLANS[name](t)
+        rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = _shuffles(rows._jdf.queryExecution().executedPlan())
+    by_inquiry = [n for key, n in dealt if "(inquiry_id" in key]
+    by_load = [n for key, n in dealt if "(load_id" in key]
+    assert sorted(by_inquiry) == sorted([live, quoted])
+    loads = t.loads.count()
+    assert max([n for n in by_load if n != loads]) < 0.7 * live
+
+
+def _offers(spark, seed):
+    rng = random.Random(seed)
+    pick = rng.choice
+    inquiries = spark.createDataFrame(
+        [(f"i{n}", pick(["L1", "L2", "L3", "L9", None]), pick(["c1", "c2", "c3", "c4", "c5", "c9", None]),
+          pick([None, 1, 2, 3]), pick(["confirmed", "confirmed", "unavailable", "not_stated", None]),
+          pick([None, "flatbed", "flatbed", "box_truck"]), pick(["verified", "verified", "needs_review", None]),
+          "verified", pick(["approved", "approved", "approved", "rejected", None]))
+         for n in range(60)],
+        "inquiry_id string, load_id string, carrier_id string, t int, availability_status string,"
+        " equipment_code string, carrier_resolution_status string, load_resolution_status string,"
+        " review_status string",
+    ).withColumn("occurred_at", F.timestamp_seconds("t")).withColumns(
+        {c: F.timestamp_seconds(F.lit(9)) for c in ("received_at", "created_at")})
+    quotes = spark.createDataFrame(
+        [(f"q{n:03d}", f"i{rng.randrange(60)}", pick(["USD", "USD", "CAD"]),
+          pick(["carrier_quote", "carrier_counteroffer", "ambiguous"]), pick(["all_in", "per_mile", "hourly"]),
+          pick(["explicit", "explicit", "inferred"]), rng.random() < 0.8, 100 + rng.randrange(9)) for n in range(40)],
+        "quote_id string, inquiry_id string, currency string, quote_type string, rate_basis string,"
+        " evidence_status string, is_current boolean, n int",
+    ).withColumn("amount", F.col("n").cast("decimal(12,2)"))
+    loads = spark.createDataFrame(
+        [("L1", "2026-05-25", 115, "flatbed"), ("L2", "2026-05-25", None, "flatbed"), ("L3", "2026-07-01", 9, "flatbed")],
+        "load_id string, day string, distance_miles long, equipment_code string",
+    ).withColumn("pickup_date", F.col("day").cast("date"))
+    carriers = spark.createDataFrame(
+        [("c1", "ACTIVE", "Satisfactory", "2026-06-01", True), ("c2", "ACTIVE", "Satisfactory", "2026-09-01", True),
+         ("c3", "INACTIVE", "Satisfactory", "2026-06-01", True), ("c4", "ACTIVE", None, "2026-06-01", True),
+         ("c5", "ACTIVE", "Satisfactory", "2026-09-01", None)],
+        "carrier_id string, authority_status string, safety_rating string, day string, onboarded boolean",
+    ).selectExpr("*", "'Co' AS company_name", "cast(day AS date) AS insurance_expiry", "3.0 AS reliability_score",
+                 "1 AS loads_completed", "2.0 AS avg_response_time_hours")
+    return inquiries, quotes, carriers, loads
+
+
+@pytest.mark.parametrize("at_hand", [cand.AT_HAND, 0])
+def test_candidates_with_quotes_have_the_prices_and_eligibility_of_all(spark, monkeypatch, at_hand):
+    """Carriers known by broadcast and by shuffle; conflicts, rejected inquiries, facts that are missing."""
+    monkeypatch.setattr(cand, "AT_HAND", at_hand)
+    eligible = priced = 0
+    for seed in range(4):
+        offers = _offers(spark, seed)
+
+        def told(assessed):
+            rows = cand.with_comparable_quote(assessed).where("current_quote IS NOT NULL").select(
+                "candidate_id", "load_id", "quote_id", "all_in", "per_mile",
+                F.expr("coalesce(final_status = 'eligible', false)"))
+            return sorted(map(tuple, rows.collect()))
+
+        got = told(cand.assess_quoted(*offers))
+        assert got == told(cand.assess(*offers))
+        eligible += sum(row[-1] for row in got)
+        priced += sum(row[3] is not None for row in got)
+    assert eligible and priced > eligible
+
+
+def test_market_weeks_are_those_of_the_role(spark):
+    t = Tables(spark, FOLDER)
+    columns = ["snapshot_id", "week_start", "origin_state", "destination_state", "equipment_code", "load_volume"]
+    rates = ["minimum_rate_per_mile", "average_rate_per_mile", "maximum_rate_per_mile"]
+    role = t.role("market_rates").select(*columns, *[F.col(c).cast("long") for c in ("min_cents", "avg_cents", "max_cents")])
+    got = t.market_rates.select(*columns, *[(F.col(c) * 100).cast("long") for c in rates])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, role.collect()))
+
+
+def test_a_line_meets_its_order_in_one_narrow_shuffle(spark):
+    """Lines are dealt by order as week and rate; neither customers nor suppliers deal them again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = Tables(spark, FOLDER).market_rates
+        rows.collect()
+        dealt = _shuffles(rows._jdf.queryExecution().executedPlan())
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    assert [key.split("#")[0] for key, n in dealt if n == lines] == ["hashpartitioning(l_orderkey"]
+    assert plan.count("l_extendedprice") and "min(l_extendedprice" not in plan and "min(line_cents" in plan
