@@ -200,7 +200,7 @@ SELECT load_id, max(all_in) FILTER (WHERE n = 1) AS overall_cents,
   max(candidate_id) FILTER (WHERE ne = 1 AND final_status = 'eligible') AS eligible_candidate
 FROM ranked GROUP BY load_id""", _FACT_ROLES)
 def best_rates(t: Tables) -> DataFrame:
-    best = rates.best_rates(priced(t))
+    best = rates.best_rates(quoted(t))
     return best.select(
         "load_id", as_cents(F.col("lowest_overall.all_in")).alias("overall_cents"),
         F.col("lowest_overall.candidate_id").alias("overall_candidate"),

@@ -139,7 +139,7 @@ def _shuffles(plan):
     return own + [found for below in inner for found in _shuffles(below)]
 
 
-@pytest.mark.parametrize("name", ["load_facts"])
+@pytest.mark.parametrize("name", ["load_facts", "best_rates"])
 def test_best_rates_deal_only_inquiries_that_bear_on_them(spark, name):
     """Rejected inquiries stay at home; of carriers that are never eligible only quotes are dealt by load."""
     t = Tables(spark, FOLDER)
