@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from brokerlake import schemas, vocab
 from brokerlake.operators import aiops, ingestion, jobs
+from brokerlake.plans import q_ingestion
+from brokerlake.plans.tables import Tables
 from brokerlake.sources import files, sinks
 from brokerlake.streaming import ingest, job_state
 
@@ -49,6 +51,112 @@ def test_recordings(spark, tmp_path):
         files.require_clean(problems)
 
 
+def _verdicts(spark, cases, **options):
+    rows = spark.createDataFrame(
+        [(f"/c/{name}.wav", f"{name}.wav", name, len(data), data) for name, data in cases],
+        "path string, name string, stem string, length bigint, content binary")
+    return sorted((r.stem, r.error_code) for r in files.validate_wav(rows, **options).collect())
+
+
+def test_a_header_is_not_a_recording(spark):
+    """Frames that are declared and not there, at the end of the file or of its RIFF chunk."""
+    good = _wav(2.0)
+    short = good[:4] + (len(good) - 9).to_bytes(4, "little") + good[8:]
+    odd = good[:40] + (len(good) - 43).to_bytes(4, "little") + good[44:]  # a byte less than a frame more
+    late = good[:36] + b"LIST" + (9000).to_bytes(4, "little") + b"x" * 9000 + good[36:]
+    late = late[:4] + (len(late) - 8).to_bytes(4, "little") + late[8:]
+    cases = [("cut", good[:-1]), ("frame", good[:-2]), ("header", good[:44]), ("late", late),
+             ("late_cut", late[:-1]), ("odd", odd), ("riff", short), ("three", _wav(channels=3)[:-1]),
+             ("whole", good)]
+    broken = {"cut", "frame", "header", "late_cut", "riff", "three"}
+    assert _verdicts(spark, cases) == [(n, "invalid_container" if n in broken else None) for n, _ in cases]
+    # the importer counts declared frames
+    assert _verdicts(spark, cases, whole=False) == [
+        (n, "unsupported_channels" if n == "three" else None) for n, _ in cases]
+
+
+def test_extensible_headers_name_pcm_in_full(spark):
+    good = _wav()
+    pcm = bytes.fromhex("0100000000001000800000aa00389b71")
+
+    def extensible(sub):
+        fmt = (b"\xfe\xff" + good[22:36] + (22).to_bytes(2, "little") + bytes(6) + sub)
+        body = b"WAVEfmt " + len(fmt).to_bytes(4, "little") + fmt + good[36:]
+        return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+    cases = [("other", extensible(pcm[:-1] + b"\x72")), ("pcm", extensible(pcm)), ("tag", extensible(b"\x01" + bytes(15)))]
+    assert _verdicts(spark, cases) == [("other", "invalid_container"), ("pcm", None), ("tag", "invalid_container")]
+
+
+def test_headers_are_those_of_the_wave_module():
+    """Changed, cut and joined bytes: what Python's reader makes of them, and whether all frames are there."""
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(4000):
+        data = bytearray(_wav(rng.choice([0, 0.001, 0.002]), channels=rng.choice([1, 2, 3]), width=rng.choice([1, 2, 3])))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            data[rng.choice([4, 16, 20, 22, 24, 34, 40, 41, rng.randrange(12, len(data))])] = rng.randrange(64)
+        if rng.random() < 0.3:
+            data[36:36] = b"LIST" + rng.choice([3, 4, 5]).to_bytes(4, "little") + b"abcdef"
+        data = bytes(data[: rng.randrange(12, len(data) + 1)] if rng.random() < 0.3 else data)
+        try:
+            with wave.open(io.BytesIO(data)) as read:
+                shape = (read.getnchannels(), read.getsampwidth(), read.getframerate(), read.getnframes())
+                held = len(read.readframes(shape[3]))
+                expected = (*shape, held == shape[0] * shape[1] * shape[3])
+        except (wave.Error, EOFError, RuntimeError):
+            expected = None
+        assert files.wav_header(data) == expected, data
+        seen.add(expected and expected[-1])
+    assert seen == {None, True, False}
+
+
+def test_oversize_recordings_are_not_opened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vocab, "MAX_WAV_BYTES", 1000)
+    (tmp_path / "a.wav").write_bytes(_wav(0.01))
+    (tmp_path / "b.wav").write_bytes(_wav(1))
+    rows = files.read_recordings(spark, str(tmp_path))
+    assert {r.stem: r.content is None for r in rows.collect()} == {"a": False, "b": True}
+    assert {r.stem: (r.error_code, r.sha256 is None) for r in files.validate_wav(rows).collect()} == {
+        "a": (None, False), "b": ("oversize", True)}
+
+
+def test_recordings_are_validated_in_one_pass(spark):
+    """No recording is read again by a join, and Python sees it once, also below a filter on the verdict."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = files.validate_wav(q_ingestion.recordings(t)).where("error_code IS NOT NULL")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+def test_generated_recordings(spark):
+    """Bytes of the recordings that the queries read, header alone or with their audio."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    numbers = {r.event_id: r.user_id for r in t.base("events").collect()}
+    whole = set()
+    for audio in (False, True):
+        for r in q_ingestion.recordings(t, audio).collect():
+            event = int(r.stem[5:])
+            kind, frames = event % 9, numbers[event] * 100 + event % 977 + 1
+            assert (r.path, r.name, r.length) == (f"/calls/{r.stem}.wav", f"{r.stem}.wav", len(r.content))
+            if kind not in (7, 8):
+                continue
+            made = io.BytesIO()
+            with wave.open(made, "wb") as out:
+                out.setparams((kind - 6, 2, 8000, frames, "NONE", ""))
+                out.writeframes(b"a" * frames * 2 * (kind - 6))
+            data = made.getvalue()
+            if kind == 8:
+                data = data[:36] + b"LIST" + (6000).to_bytes(4, "little") + b"x" * 6000 + data[36:]
+            held = 2 * (kind - 6) * frames
+            kept = held if audio and held <= 4096 else 0
+            data = data[: len(data) - held + kept]
+            size = len(data) - 8 - kept + (held if audio else 0)
+            assert r.content == data[:4] + size.to_bytes(4, "little") + data[8:]
+            whole.add(kept == held)
+    assert whole == {True, False}
+
+
 def test_loads_file(spark, tmp_path):
     header = ",".join(schemas.LOAD_COLUMNS)
     row = ('{id},"Erie, ""PA""",pa,16501,Newark, nj ,07101,{miles},Box Truck,,2026-05-01,{window},,'
