@@ -129,6 +129,14 @@ def test_recordings_are_validated_in_one_pass(spark):
     assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
 
 
+def test_problems_of_recordings_store_nothing(spark):
+    """Each of the importer's checks reads what it needs; a scan of the events is cheaper than a copy."""
+    rows = q_ingestion.scan_calls_wav(Tables(spark, "/root/testdata/sf0.001"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    assert plan.count("event_id") and plan.count("FileScan") <= 4
+
+
 def test_generated_recordings(spark):
     """Bytes of the recordings that the queries read, header alone or with their audio."""
     t = Tables(spark, "/root/testdata/sf0.001")
