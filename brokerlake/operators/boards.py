@@ -372,14 +372,18 @@ def inquiry_detail(
 
 def draft_context(
     inquiries: DataFrame, carriers: DataFrame, contacts: DataFrame, quotes: DataFrame,
-    context: DataFrame,
+    context: DataFrame, words: bool = True,
 ) -> DataFrame:
     """The facts handed to a draft, one struct per topic; internal notes are left out.
 
     ``context`` holds the loads with their market. Inquiries meet their quotes by inquiry, then are
     dealt once by load; windows over the candidate give each inquiry the facts that
     ``candidates.assess`` gives the candidate, so assessments are neither made nor joined apart.
+    Between the two the rows are stored, so that the disk holds one shuffle of them at a time. A stored
+    column is written whether or not it is asked for: without ``words`` the summary and the
+    availability as it was stated are left out.
     """
+    words = ["availability_status", "summary"] if words else []
     counted = F.struct(*cand.QUOTE)
     low, high = F.col("_low"), F.col("_high")
     summed = (
@@ -415,19 +419,15 @@ def draft_context(
         "carrier_id", "company_name", "mc_number_raw", "contact_name", "authority_status",
         "safety_rating", "insurance_expiry", "onboarded",
     ).withColumnRenamed("carrier_id", "_carrier"))
-    stated = inquiries.select(
-        "inquiry_id", "load_id", "carrier_id", *cand.stated_facts(), "availability_status", "summary"
+    stated = inquiries.select("inquiry_id", "load_id", "carrier_id", *cand.stated_facts(), *words)
+    met = stated.join(summed, "inquiry_id", "left").select(
+        # an inquiry without a load has a key of its own
+        F.coalesce("load_id", F.concat(F.lit("\0"), "inquiry_id")).alias("_load"), "carrier_id",
+        "inquiry_id", "occurred_at", "_live", "_verified", "_said", "_truck", *words, *cand.QUOTE,
+        "_usable", "_low", "_high",
     )
-    rows = (
-        stated.join(summed, "inquiry_id", "left")
-        .select(
-            # an inquiry without a load has a key of its own
-            F.coalesce("load_id", F.concat(F.lit("\0"), "inquiry_id")).alias("_load"), "carrier_id",
-            "inquiry_id", "occurred_at", "_live", "_verified", "_said", "_truck", "availability_status",
-            "summary", *cand.QUOTE, "_usable", "_low", "_high",
-        )
-        .join(load_part.hint("merge"), "_load", "left")
-        .withColumn("load_id", F.when(~F.startswith("_load", F.lit("\0")), F.col("_load")))
+    rows = stored(met, "drafted").join(load_part.hint("merge"), "_load", "left").withColumn(
+        "load_id", F.when(~F.startswith("_load", F.lit("\0")), F.col("_load"))
     )
     # the same struct as candidates keep, in whose order quotes are compared
     whole = lambda of: F.struct(*of, F.lit("explicit").alias("evidence_status"))
@@ -438,8 +438,7 @@ def draft_context(
     candidate = Window.partitionBy("_load", "carrier_id")
     rows = rows.withColumns({name: agg.over(candidate) for name, agg in aggs.items()})
     rows = rows.join(carrier_part, F.col("carrier_id") == F.col("_carrier"), "left").select(
-        "inquiry_id", "load_id", "carrier_id", "summary",
-        F.col("availability_status").alias("availability"), "load", "band_position", "_carrier",
+        "inquiry_id", "load_id", "carrier_id", *words, "load", "band_position", "_carrier",
         F.when(F.col("quote_id").isNotNull(), F.struct("quote_id", "amount", "rate_basis", "quote_type"))
         .alias("quote"),
         F.when(F.col("_carrier").isNotNull(), F.struct(
@@ -453,8 +452,9 @@ def draft_context(
     per_mile = money.quote_as_per_mile(
         F.col("quote.amount"), F.col("quote.rate_basis"), F.col("load.distance_miles")
     )
+    said = [F.col("summary"), F.col("availability_status").alias("availability")] if words else []
     return cand.decided(rows).select(
-        "load_id", "carrier_id", "inquiry_id", "summary", "availability", "band_position", "load", "carrier",
+        "load_id", "carrier_id", "inquiry_id", *said, "band_position", "load", "carrier",
         F.when(known, F.struct(
             cand.candidate_id().alias("candidate_id"), "final_status", cand.open_reasons().alias("reasons")
         )).alias("eligibility"),

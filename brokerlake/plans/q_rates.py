@@ -332,7 +332,7 @@ def dashboard_counts(t: Tables) -> DataFrame:
 
 def draft_rows(t: Tables) -> DataFrame:
     return boards.draft_context(
-        t.inquiries, t.carriers, t.carrier_contacts, t.quotes, context(t)
+        t.inquiries, t.carriers, t.carrier_contacts, t.quotes, context(t), words=False
     )
 
 

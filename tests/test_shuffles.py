@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from brokerlake import scale
 from brokerlake.operators import boards, candidates as cand
 from brokerlake.plans.registry import PLANS
 from brokerlake.plans.tables import Tables
@@ -238,3 +240,44 @@ def test_a_line_meets_its_order_in_one_narrow_shuffle(spark):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     assert [key.split("#")[0] for key, n in dealt if n == lines] == ["hashpartitioning(l_orderkey"]
     assert plan.count("l_extendedprice") and "min(l_extendedprice" not in plan and "min(line_cents" in plan
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    rows = scale.stored(spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k").groupBy("k").count())
+    until = time.monotonic() + 20  # they are deleted in the background
+    while _shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert {r.k: r["count"] for r in rows.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+    assert spark.conf.get(scale._CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("name", ["draft_context", "draft_evidence"])
+def test_drafts_hold_one_shuffle_of_the_inquiries(spark, name):
+    """The meeting with the quotes is over, and its files can go, when rows are dealt by load."""
+    rows = PLANS[name](Tables(spark, FOLDER))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_load" in plan and "hashpartitioning(inquiry_id" not in plan
+    assert "summary" not in plan and "availability_status" not in plan
+
+
+def test_drafts_tell_the_words_if_asked(spark):
+    inquiries, quotes, carriers, loads = _offers(spark, 1)
+    inquiries = inquiries.withColumn("summary", F.concat(F.lit("about "), "inquiry_id"))
+    loads = loads.selectExpr("*", "'PA' AS origin_state", "'NJ' AS destination_state", "'Flatbed' AS equipment_raw",
+                             "5 AS weight_lbs", "cast(520 AS decimal(12,2)) AS offered_rate_usd", "'low' AS band_position")
+    carriers = carriers.selectExpr("*", "'MC-1' AS mc_number_raw")
+    contacts = spark.createDataFrame([("c1", "Ann", True)], "carrier_id string, name string, is_primary boolean")
+    told = boards.draft_context(inquiries, carriers, contacts, quotes, loads)
+    asked = {r.inquiry_id: r.availability_status for r in inquiries.collect()}
+    assert {r.inquiry_id: (r.availability, r.summary) for r in told.collect()} == {
+        i: (said, f"about {i}") for i, said in asked.items()}
+    short = boards.draft_context(inquiries, carriers, contacts, quotes, loads, words=False)
+    assert short.columns == [c for c in told.columns if c not in ("summary", "availability")]
+    assert sorted(short.collect(), key=repr) == sorted(told.select(short.columns).collect(), key=repr)
